@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .minhash import near_duplicates
+from .planes import read_token_files, write_token_files
 from .shared import table
+from .wordpiece import token_counts
+
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +20,19 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy longest-match token counts of every document; words end in the vocabulary's end mark."""
+    return token_counts(table(spark, sf_dir, "documents"), WORD_BPE, prefix="", end="</w>")
+
+
+def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written to plane files and read back from them."""
+    path = write_token_files(table(spark, sf_dir, "documents"), WORD_BPE)
+    return read_token_files(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op10_bit_planes)}
 
 
 def oracle_sql() -> dict[str, str]:
