@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .minhash import near_duplicates
+from .labelled import held_out
 from .planes import read_token_files, write_token_files
+from .quality import fit_quality, quality_scores
 from .shared import table
 from .wordpiece import token_counts
 
@@ -25,6 +28,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), WORD_BPE, prefix="", end="</w>")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; a third of the ids is kept from learning."""
+    docs, held = table(spark, sf_dir, "documents"), held_out("doc_id", 3, 1)
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), ~held)
+    scores = quality_scores(docs, model)
+    return scores.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written to plane files and read back from them."""
     path = write_token_files(table(spark, sf_dir, "documents"), WORD_BPE)
@@ -32,7 +43,7 @@ def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op10_bit_planes)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op8_quality, op10_bit_planes)}
 
 
 def oracle_sql() -> dict[str, str]:
