@@ -39,7 +39,7 @@ from .shared import new_path
 MAGIC, BLOCK, INDEX = b"EMP1", 1, 2
 BLOCK_IDS = 1 << 16
 FILE_BYTES = 16 << 20  # text to a file, about
-CACHED_WORDS = 1 << 20
+CACHED_WORDS = 600_000
 END_ID = 2
 
 
@@ -165,7 +165,6 @@ class WordEncoder:
                 return place
 
         self.places, self.fresh = Places(), []
-        self.pieces: dict[bytes, list[int]] = {}
         self.flat = np.empty(0, "<u4")
         self.starts, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
 
@@ -176,12 +175,23 @@ class WordEncoder:
         return (word,)
 
     def _learn(self) -> None:
-        """Adds the ids of the words met since the last call."""
-        parts = [self._parts(w) for w in self.fresh]
-        new = list({p for ps in parts for p in ps if p not in self.pieces})
-        for piece, e in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)):
-            self.pieces[piece] = e.ids
-        rows = [self.pieces[ps[0]] if len(ps) == 1 else self.pieces[ps[0]] + self.pieces[ps[1]] for ps in parts]
+        """Adds the ids of the words met since the last call, and of the parts they share with others."""
+        known, parts = len(self.starts), [self._parts(w) for w in self.fresh]
+        held = lambda part: (self.places[part] if part in self.places else known) < known
+        new = list(dict.fromkeys(p for ps in parts for p in ps if not held(p)))
+        done = {p: e.ids for p, e in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False))}
+
+        def ids(part: bytes) -> list[int]:
+            if part in done:
+                return done[part]
+            at = self.starts[place := self.places[part]]
+            return self.flat[at : at + self.sizes[place]].tolist()
+
+        rows = [ids(ps[0]) if len(ps) == 1 else ids(ps[0]) + ids(ps[1]) for ps in parts]
+        for part in new:
+            if part not in self.places:
+                self.places[part] = len(self.places)
+                rows.append(done[part])
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
