@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import held_out, labelled_sample
+from .labelled import held_out, labelled_sample, logistic
 
 DICT_BYTES, BLOCK, LEVEL = 64 << 10, 512, 3
 PER_CLASS, FROM_TEXT = 4000, 2000  # rows of a class to learn from; bytes of each that may enter a dictionary
@@ -62,23 +62,6 @@ def _difference(sizes: np.ndarray, pull: float, typical: float) -> np.ndarray:
     return (b - g + pull * typical) / np.maximum(n + pull, 1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Slope, offset and mean log-loss of a logistic in one variable, by damped Newton steps."""
-    scale = x.std() or 1.0
-    X = np.stack([x / scale, np.ones_like(x)], axis=1)
-    w = np.zeros(2)
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(X @ w, -30, 30)))
-        grad = X.T @ (p - y) / len(y) + 1e-4 * w
-        hess = (X * (p * (1 - p))[:, None]).T @ X / len(y) + 1e-4 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        w -= step * min(1.0, 2.0 / (np.abs(step).max() + 1e-12))
-        if np.abs(step).max() < 1e-8:
-            break
-    p = np.clip(1 / (1 + np.exp(-np.clip(X @ w, -30, 30))), 1e-9, 1 - 1e-9)
-    return float(w[0] / scale), float(w[1]), float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
-
-
 def _size_rows(model: CompressionModel):
     schema = pa.schema([("y", pa.int32()), ("g", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
@@ -122,7 +105,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, eligible: F.Column | None =
     typical = float(np.median(_difference(sizes, 0, 0)[y == 1]))
     best = None
     for pull in (0.0, 16.0, 32.0, 64.0, 128.0):
-        slope, offset, loss = _logistic(_difference(sizes, pull, typical), y)
+        slope, offset, loss = logistic(_difference(sizes, pull, typical), y)
         if best is None or loss < best[2]:
             best = slope, offset, loss, pull
     # the sample holds the classes in other shares than the labels do

@@ -13,6 +13,7 @@ from .labelled import held_out
 from .planes import read_token_files, write_token_files
 from .quality import fit_quality, quality_scores
 from .shared import table
+from .toxicity import fit_toxicity, toxicity_scores
 from .wordpiece import token_counts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -28,6 +29,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), WORD_BPE, prefix="", end="</w>")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; a quarter of the ids is kept from learning."""
+    docs, held = table(spark, sf_dir, "documents"), held_out("doc_id", 4, 2)
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), ~held)
+    scores = toxicity_scores(docs, model)
+    return scores.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; a third of the ids is kept from learning."""
     docs, held = table(spark, sf_dir, "documents"), held_out("doc_id", 3, 1)
@@ -43,7 +52,7 @@ def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op8_quality, op10_bit_planes)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op7_toxicity, op8_quality, op10_bit_planes)}
 
 
 def oracle_sql() -> dict[str, str]:
