@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .minhash import near_duplicates
+from .html_consensus import main_texts
 from .labelled import held_out
 from .planes import read_token_files, write_token_files
 from .quality import fit_quality, quality_scores
@@ -29,6 +30,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), WORD_BPE, prefix="", end="</w>")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by its host's consensus paths."""
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; a quarter of the ids is kept from learning."""
     docs, held = table(spark, sf_dir, "documents"), held_out("doc_id", 4, 2)
@@ -52,7 +58,7 @@ def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op7_toxicity, op8_quality, op10_bit_planes)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op3_html_text, op7_toxicity, op8_quality, op10_bit_planes)}
 
 
 def oracle_sql() -> dict[str, str]:
