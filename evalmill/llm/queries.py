@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lattice import near_vectors
 from .minhash import near_duplicates
 from .chat import format_trees, linear_messages, parse_turns, unescape
 from .html_consensus import main_texts
@@ -38,6 +39,11 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(table(spark, sf_dir, "pages"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding with its number of links and its component, at a cosine of 0.93."""
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; a quarter of the ids is kept from learning."""
     docs, held = table(spark, sf_dir, "documents"), held_out("doc_id", 4, 2)
@@ -83,7 +89,7 @@ def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op3_html_text, op7_toxicity, op8_quality, op9_chat_trees, op10_bit_planes)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op3_html_text, op5_embedding_near_dedup, op7_toxicity, op8_quality, op9_chat_trees, op10_bit_planes)}
 
 
 def oracle_sql() -> dict[str, str]:
