@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from .lattice import near_vectors
 from .minhash import near_duplicates
 from .chat import format_trees, linear_messages, parse_turns, unescape
+from .decontaminate import contamination
 from .html_consensus import main_texts
 from .labelled import held_out
+from .mixing import mixed
 from .planes import read_token_files, write_token_files
 from .quality import fit_quality, quality_scores
 from .shared import table, written
@@ -39,11 +41,22 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(table(spark, sf_dir, "pages"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) where the document holds the item."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding with its number of links and its component, at a cosine of 0.93."""
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every time a document is taken so that sources meet their weights, no source more than twice over."""
+    rows = mixed(table(spark, sf_dir, "documents"), max_repeats=2.0)
+    return rows.select("doc_id", "source", "epoch", "block", F.round("weight", 9).alias("weight"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; a quarter of the ids is kept from learning."""
     docs, held = table(spark, sf_dir, "documents"), held_out("doc_id", 4, 2)
@@ -89,7 +102,7 @@ def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op3_html_text, op5_embedding_near_dedup, op7_toxicity, op8_quality, op9_chat_trees, op10_bit_planes)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op3_html_text, op4_decontamination, op5_embedding_near_dedup, op6_source_mixing, op7_toxicity, op8_quality, op9_chat_trees, op10_bit_planes)}
 
 
 def oracle_sql() -> dict[str, str]:
