@@ -17,7 +17,9 @@ copies of one text costs one comparison for each of them.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,7 @@ from .components import connected_components
 from .shared import written
 
 CHUNKS, WIDTH, RADIUS, BITS = 12, 7, 23, 16
+PLANES = 4  # bits of each value that the sketch holds
 _CACHE = 1 << 19
 
 
@@ -91,14 +94,20 @@ def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, bits: int = BITS
     return ((low * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - bits)).astype(">u2")
 
 
-_SIGNED = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("sig", pa.binary()), ("lo", pa.int64()), ("hi", pa.int64())])
+def sketch(sig: np.ndarray) -> list[int]:
+    """The lowest bits of all values, plane by plane, in 64-bit words."""
+    words = -(-len(sig) // 64)
+    planes = [np.packbits((sig >> k) & 1).tobytes().ljust(8 * words, b"\0") for k in range(PLANES)]
+    return np.frombuffer(b"".join(planes), "<i8").tolist()
+
+
+_SIGNED = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("sig", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 
 
 def _signer(n: int, size: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         a, b = _permutations(size)
-        half = 1 << np.arange((size + 1) // 2, dtype=np.int64)
         for batch in batches:
             rows = {name: [] for name in _SIGNED.names}
             for id_, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -107,13 +116,11 @@ def _signer(n: int, size: int):
                 rows["n"].append(len(s))
                 if len(s):
                     sig = signature(s, a, b)
-                    odd = (sig & 1).astype(np.int64)
                     rows["fp"].append(xxhash.xxh128_digest(s.tobytes()))
                     rows["sig"].append(sig.tobytes())
-                    rows["lo"].append(int(odd[: len(half)] @ half))
-                    rows["hi"].append(int(odd[len(half) :] @ half[: size - len(half)]))
+                    rows["sketch"].append(sketch(sig))
                 else:
-                    for name in ("fp", "sig", "lo", "hi"):
+                    for name in ("fp", "sig", "sketch"):
                         rows[name].append(None)
             yield pa.RecordBatch.from_pydict(rows, schema=_SIGNED)
 
@@ -161,10 +168,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, name: st
     return written(full.mapInArrow(_verifier(n, percent), "a long, b long, linked boolean"), name)
 
 
-def _near(x: str, y: str, percent: int, radius: int) -> F.Column:
-    """No pair that fails this can be linked within the radius: sizes, then the signatures' lowest bits."""
-    nx, ny, d = F.col(f"{x}n"), F.col(f"{y}n"), lambda c: F.bit_count(F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}")))
-    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (d("lo") + d("hi") <= radius)
+def _near(x: str, y: str, percent: int, size: int, reach: int) -> F.Column:
+    """Sizes that can be linked, and signatures that differ in ``reach`` values or fewer.
+
+    Values are compared by their lowest bits, which differ only where they do.
+    """
+    nx, ny, words = F.col(f"{x}n"), F.col(f"{y}n"), -(-size // 64)
+    differ = lambda i: F.col(f"{x}sketch")[i].bitwiseXOR(F.col(f"{y}sketch")[i])
+    distance = sum((F.bit_count(reduce(lambda p, q: p.bitwiseOR(q), (differ(k * words + w) for k in range(PLANES)))) for w in range(words)), F.lit(0))
+    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (distance <= reach)
 
 
 def near_duplicates(
@@ -190,20 +202,23 @@ def near_duplicates(
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size, errors = chunks * width, radius // chunks
-    signed = written(src.mapInArrow(_signer(n, size), "id long, n long, fp binary, sig binary, lo long, hi long"), "signed")
+    share = percent / 100
+    # beyond the radius as far as signatures of linked sets lie but once in some ten thousand
+    reach = max(radius, math.ceil(size * (1 - share) + 4 * math.sqrt(size * share * (1 - share))))
+    signed = written(src.mapInArrow(_signer(n, size), "id long, n long, fp binary, sig binary, sketch array<long>"), "signed")
     sets = signed.where("n > 0 and id is not null")
     classes = written(sets.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     first = classes.select("fp", F.col("rep").alias("id"))
-    reps = written(sets.join(first, ["fp", "id"], "left_semi").select("id", "n", "sig", "lo", "hi"), "reps")
+    reps = written(sets.join(first, ["fp", "id"], "left_semi").select("id", "n", "sig", "sketch"), "reps")
 
     rows = reps.select("id", F.explode(index_keys(chunks, width, errors)).alias("key"))
     shared = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
     multi = written(rows.join(shared, "key").select("key", "id", "a"), "multi")
 
-    sketch = reps.select("id", "n", "lo", "hi")
-    side = lambda s: sketch.select(*(F.col(c).alias({"id": s}.get(c, s + c)) for c in sketch.columns))
+    brief = reps.select("id", "n", "sketch")
+    side = lambda s: brief.select(*(F.col(c).alias({"id": s}.get(c, s + c)) for c in brief.columns))
     votes = multi.where("id > a").groupBy(F.col("id").alias("b"), "a").agg(F.count("*").alias("votes"))
-    near = votes.join(side("a"), "a").join(side("b"), "b").where(_near("a", "b", percent, radius))
+    near = votes.join(side("a"), "a").join(side("b"), "b").where(_near("a", "b", percent, size, reach))
     star = near.groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a"))
     tried = _verified(star, src, n, percent, "star")
     labels = connected_components(tried.where("linked"))
@@ -211,10 +226,10 @@ def near_duplicates(
     lab = labels.select("id", F.col("root").alias("comp"))
     placed = multi.select("key", "id").join(lab, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     split = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
-    opened = written(placed.join(split, "key").join(sketch, "id").select("key", "id", "comp", "n", "lo", "hi"), "open")
-    left = opened.select("key", *(F.col(c).alias("a" + c) for c in ("id", "comp", "n", "lo", "hi")))
-    right = opened.select("key", *(F.col(c).alias("b" + c) for c in ("id", "comp", "n", "lo", "hi")))
-    cross = left.join(right, (left.key == right.key) & (F.col("acomp") < F.col("bcomp")) & _near("a", "b", percent, radius))
+    opened = written(placed.join(split, "key").join(brief, "id").select("key", "id", "comp", "n", "sketch"), "open")
+    left = opened.select("key", *(F.col(c).alias("a" + c) for c in ("id", "comp", "n", "sketch")))
+    right = opened.select("key", *(F.col(c).alias("b" + c) for c in ("id", "comp", "n", "sketch")))
+    cross = left.join(right, (left.key == right.key) & (F.col("acomp") < F.col("bcomp")) & _near("a", "b", percent, size, reach))
     cross = cross.select(F.least("aid", "bid").alias("a"), F.greatest("aid", "bid").alias("b")).distinct()
     cross = written(cross.join(tried, ["a", "b"], "left_anti"), "cross")
     more = _verified(cross, src, n, percent, "more")
