@@ -71,23 +71,26 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def _steps(nodes: DataFrame) -> list[DataFrame]:
-    """Tables (tree, id, up, size, total) for steps of 1, 2, 4, ... messages.
+def _steps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Tables (tree, id, up) of steps of 1, 2, 4, ... messages, and (tree, id, up, size, total).
 
-    ``up`` is the message a step above, null above a root; ``size`` and
-    ``total`` count and sum the messages passed.
+    ``up`` is the message a step above.  The second table counts and sums the
+    messages from each one to its root; ``up`` stays set only where a circle of
+    parents never ends.  Only messages that aren't at their root take part in
+    the next round.
     """
     present = nodes.select(F.col("tree").alias("t"), F.col("id").alias("i"))
     first = nodes.join(present, nodes.tree.eqNullSafe(F.col("t")) & (nodes.parent == F.col("i")), "left")
-    steps = [written(first.select("tree", "id", F.col("i").alias("up"), F.lit(1).cast("long").alias("size"), F.col("score").alias("total")), "step")]
-    limit = nodes.count().bit_length() + 1
-    while len(steps) <= limit and steps[-1].where("up is not null").limit(1).count():
-        low = steps[-1]
-        high = low.select(F.col("tree").alias("t"), F.col("id").alias("i"), F.col("up").alias("further"), F.col("size").alias("more"), F.col("total").alias("extra"))
-        joined = low.join(high, low.tree.eqNullSafe(F.col("t")) & (low.up == F.col("i")), "left")
-        sums = (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), (F.col("total") + F.coalesce("extra", F.lit(0.0))).alias("total")
-        steps.append(written(joined.select("tree", "id", F.col("further").alias("up"), *sums), "step"))
-    return steps
+    state = written(first.select("tree", "id", F.col("i").alias("up"), F.lit(1).cast("long").alias("size"), F.col("score").alias("total")), "steps")
+    steps, limit = [], nodes.count().bit_length() + 1
+    while len(steps) <= limit and state.where("up is not null").limit(1).count():
+        low = state.where("up is not null")
+        steps.append(low.select("tree", "id", "up"))
+        high = state.select(F.col("tree").alias("t"), F.col("id").alias("i"), F.col("up").alias("further"), F.col("size").alias("more"), F.col("total").alias("extra"))
+        joined = low.join(high, low.tree.eqNullSafe(F.col("t")) & (low.up == F.col("i")))
+        moved = joined.select("tree", "id", F.col("further").alias("up"), (F.col("size") + F.col("more")).alias("size"), (F.col("total") + F.col("extra")).alias("total"))
+        state = written(state.where("up is null").union(moved), "steps")
+    return steps, state
 
 
 def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
@@ -98,9 +101,9 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     message on or below a circle of parents has no path; a null score counts 0.
     """
     nodes = messages.select("tree", "id", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    steps = _steps(nodes)
+    steps, state = _steps(nodes)
     inner = nodes.where("parent is not null").select(F.col("tree").alias("t"), F.col("parent").alias("i")).distinct()
-    done = steps[-1].where("up is null")
+    done = state.where("up is null")
     leaves = done.join(inner, done.tree.eqNullSafe(F.col("t")) & (done.id == F.col("i")), "left_anti")
     worth = F.struct((F.col("total") / F.col("size")).alias("mean"), F.col("size"), (-F.col("id")).alias("first"))
     if branches == 1:
@@ -109,8 +112,8 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         place = F.row_number().over(Window.partitionBy("tree").orderBy(worth.desc()))
         best = leaves.select("tree", F.col("id").alias("leaf"), place.alias("rank"), "size").where(F.col("rank") <= branches)
     path = best.select("tree", "leaf", "rank", F.col("size").alias("depth"), F.col("leaf").alias("id"))
-    for k in range(len(steps) - 2, -1, -1):
-        jump = steps[k].where("up is not null").select(F.col("tree").alias("t"), F.col("id").alias("i"), "up")
+    for k in range(len(steps) - 1, -1, -1):
+        jump = steps[k].select(F.col("tree").alias("t"), F.col("id").alias("i"), "up")
         above = path.join(jump, path.tree.eqNullSafe(F.col("t")) & (path.id == F.col("i")))
         path = written(path.union(above.select("tree", "leaf", "rank", F.col("depth") - (1 << k), F.col("up"))), "path")
     return path
