@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import register
@@ -16,7 +16,8 @@ def _documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     return B.read(spark, sf, "documents").select("doc_id", *columns)
 
 
-_HASH = F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string")))
+def _hash() -> Column:
+    return F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string")))
 
 
 @register("SELECT doc_id, CASE WHEN CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 20 THEN 'test' ELSE 'dev' END AS split FROM documents")
@@ -31,12 +32,12 @@ def byte_sum_split(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(f"SELECT doc_id, lang, rank FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_MD5}, doc_id)::INTEGER AS rank FROM documents) WHERE rank <= 5")
 def quota_sample_hash(spark: SparkSession, sf: str) -> DataFrame:
-    return S.first_of_each(_documents(spark, sf, "lang"), ["lang"], [_HASH, F.col("doc_id")], 5)
+    return S.first_of_each(_documents(spark, sf, "lang"), ["lang"], [_hash(), F.col("doc_id")], 5)
 
 
 @register(f"SELECT doc_id, source, rank FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {_MD5}, doc_id)::INTEGER AS rank FROM documents) ORDER BY rank, source LIMIT 30")
 def round_robin_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return S.round_robin(_documents(spark, sf, "source"), ["source"], [_HASH, F.col("doc_id")], 30)
+    return S.round_robin(_documents(spark, sf, "source"), ["source"], [_hash(), F.col("doc_id")], 30)
 
 
 @register("SELECT item, cls, rank FROM (SELECT doc_id AS item, lang AS cls, row_number() OVER (PARTITION BY lang ORDER BY CAST(doc_id AS VARCHAR))::INTEGER AS rank FROM documents) WHERE rank <= CASE cls WHEN 'en' THEN 8 ELSE 3 END")
