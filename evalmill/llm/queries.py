@@ -105,5 +105,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op3_html_text, op4_decontamination, op5_embedding_near_dedup, op6_source_mixing, op7_toxicity, op8_quality, op9_chat_trees, op10_bit_planes)}
 
 
+_CONTROL = r"(\\|<s>|<<ROLE>>|<</ROLE>>|<</TURN>>|<<SYS>>|\[INST\]|\[ASST\]|<</SYS>>|\[/INST\]|</s>)"
+
+_OP9 = f"""WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (CAST(-1 AS BIGINT), CAST(0 AS BIGINT), 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+e AS (SELECT *, length(text) + len(regexp_extract_all(text, '{_CONTROL}')) AS escaped, length(role) + len(regexp_extract_all(role, '{_CONTROL}')) AS named FROM r)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(escaped + 2 + CASE role WHEN 'system' THEN 7 + 8 WHEN 'user' THEN 6 + 7 WHEN 'assistant' THEN 6 + 4 ELSE 8 + named + 9 + 9 END))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_chat_trees": _OP9}
