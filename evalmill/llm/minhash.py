@@ -6,12 +6,12 @@ less have, by the pigeonhole principle, a chunk with ``radius // chunks`` errors
 or fewer; each chunk is therefore indexed once for each set of that many
 positions left out, and two such signatures share an index key for certain.
 
-Pairs within a key are not all emitted.  Each set is first compared with the
-smallest set it shares most keys with; the sets linked so are contracted to
-components.  Only keys that then still hold several components are joined with
-themselves, on pairs of different components.  Every link that the index can
-show between two components is so checked, while a key that holds thousands of
-copies of one text costs one comparison for each of them.
+Pairs within a key are not all emitted.  In a few rounds each set is compared
+with the nearest of the centres that its keys draw, and the sets linked so are
+contracted to components.  Only keys that then still hold several components are
+joined with themselves, on pairs of different components.  Every link that the
+index can show between two components is so checked, while a key that holds
+thousands of copies of one text costs a few comparisons for each of them.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ from .shared import written
 
 CHUNKS, WIDTH, RADIUS, BITS = 12, 7, 23, 16
 PLANES = 4  # bits of each value that the sketch holds
-_CACHE = 1 << 19
+ROUNDS = 2  # of comparisons with one centre of each key, before all pairs of components left in a key
+_CACHE = 1 << 17
 
 
 class WordHashes(dict):
@@ -168,15 +169,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, name: st
     return written(full.mapInArrow(_verifier(n, percent), "a long, b long, linked boolean"), name)
 
 
-def _near(x: str, y: str, percent: int, size: int, reach: int) -> F.Column:
-    """Sizes that can be linked, and signatures that differ in ``reach`` values or fewer.
+def _near(x: str, y: str, percent: int, size: int, reach: int) -> tuple[F.Column, F.Column]:
+    """(sizes can be linked and signatures differ in ``reach`` values or fewer, how many differ).
 
     Values are compared by their lowest bits, which differ only where they do.
     """
     nx, ny, words = F.col(f"{x}n"), F.col(f"{y}n"), -(-size // 64)
     differ = lambda i: F.col(f"{x}sketch")[i].bitwiseXOR(F.col(f"{y}sketch")[i])
     distance = sum((F.bit_count(reduce(lambda p, q: p.bitwiseOR(q), (differ(k * words + w) for k in range(PLANES)))) for w in range(words)), F.lit(0))
-    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (distance <= reach)
+    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (distance <= reach), distance
 
 
 def near_duplicates(
@@ -212,28 +213,42 @@ def near_duplicates(
     reps = written(sets.join(first, ["fp", "id"], "left_semi").select("id", "n", "sig", "sketch"), "reps")
 
     rows = reps.select("id", F.explode(index_keys(chunks, width, errors)).alias("key"))
-    shared = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
-    multi = written(rows.join(shared, "key").select("key", "id", "a"), "multi")
-
+    shared = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key")
+    multi = written(rows.join(shared, "key").select("key", "id"), "multi")
     brief = reps.select("id", "n", "sketch")
-    side = lambda s: brief.select(*(F.col(c).alias({"id": s}.get(c, s + c)) for c in brief.columns))
-    votes = multi.where("id > a").groupBy(F.col("id").alias("b"), "a").agg(F.count("*").alias("votes"))
-    near = votes.join(side("a"), "a").join(side("b"), "b").where(_near("a", "b", percent, size, reach))
-    star = near.groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a"))
-    tried = _verified(star, src, n, percent, "star")
-    labels = connected_components(tried.where("linked"))
-
-    lab = labels.select("id", F.col("root").alias("comp"))
-    placed = multi.select("key", "id").join(lab, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    split = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
-    opened = written(placed.join(split, "key").join(brief, "id").select("key", "id", "comp", "n", "sketch"), "open")
+    near, distance = _near("a", "b", percent, size, reach)
+
+    def described(pairs: DataFrame) -> DataFrame:
+        side = lambda s: brief.select(F.col("id").alias(s), F.col("n").alias(s + "n"), F.col("sketch").alias(s + "sketch"))
+        return pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def placed(labels: DataFrame | None) -> DataFrame:
+        """The index with components, without keys that hold one component alone."""
+        at = multi.withColumn("comp", F.col("id"))
+        if labels is not None:
+            at = multi.join(labels.select("id", F.col("root").alias("comp")), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+        split = at.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
+        return written(at.join(split, "key"), "placed")
+
+    labels, tried = None, None
+    for salt in range(ROUNDS):  # each set with the nearest of the centres of its keys, new centres each time
+        open_ = placed(labels)
+        centre = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "key", "id"), F.col("id").alias("a"), F.col("comp").alias("acomp"))).alias("c"))
+        pairs = open_.join(centre.select("key", "c.a", "c.acomp"), "key").where("comp <> acomp").select("a", F.col("id").alias("b")).distinct()
+        best = described(pairs).where(near).groupBy("b").agg(F.min_by("a", F.struct(distance, F.col("a"))).alias("a"))
+        best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        best = best if tried is None else best.join(tried, ["a", "b"], "left_anti")
+        got = _verified(best, src, n, percent, "tried")
+        tried = got if tried is None else tried.union(got)
+        labels = connected_components(tried.where("linked"))
+    opened = written(placed(labels).join(brief, "id"), "open")
     left = opened.select("key", *(F.col(c).alias("a" + c) for c in ("id", "comp", "n", "sketch")))
     right = opened.select("key", *(F.col(c).alias("b" + c) for c in ("id", "comp", "n", "sketch")))
-    cross = left.join(right, (left.key == right.key) & (F.col("acomp") < F.col("bcomp")) & _near("a", "b", percent, size, reach))
+    cross = left.join(right, (left.key == right.key) & (F.col("acomp") < F.col("bcomp")) & near)
     cross = cross.select(F.least("aid", "bid").alias("a"), F.greatest("aid", "bid").alias("b")).distinct()
     cross = written(cross.join(tried, ["a", "b"], "left_anti"), "cross")
     more = _verified(cross, src, n, percent, "more")
-    links = tried.where("linked").select("a", "b").union(more.where("linked").select("a", "b"))
+    links = tried.union(more).where("linked")
     lab = connected_components(links).select(F.col("id").alias("rep"), "root")
 
     copies = classes.select("fp", "rep")
