@@ -9,9 +9,12 @@ positions left out, and two such signatures share an index key for certain.
 Pairs within a key are not all emitted.  In a few rounds each set is compared
 with the nearest of the centres that its keys draw, and the sets linked so are
 contracted to components.  Only keys that then still hold several components are
-joined with themselves, on pairs of different components.  Every link that the
-index can show between two components is so checked, while a key that holds
-thousands of copies of one text costs a few comparisons for each of them.
+joined with themselves, on pairs of different components, each at the first key
+that its two sets share.  There a pair must also agree in its rarest shingles:
+of two sets that share ``need`` shingles or more, put in one order, the first
+``size - need + k`` of each have ``k`` in common, so this loses no link.  Every
+link that the index can show between two components is so checked, while a key
+that holds thousands of copies of one text costs a few comparisons for each.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ from .shared import written
 CHUNKS, WIDTH, RADIUS, BITS = 12, 7, 23, 16
 PLANES = 4  # bits of each value that the sketch holds
 ROUNDS = 2  # of comparisons with one centre of each key, before all pairs of components left in a key
+RARE = 8  # rarest shingles that the two sets of a pair must share in their prefixes
 _CACHE = 1 << 17
 
 
@@ -128,6 +132,38 @@ def _signer(n: int, size: int):
     return sign
 
 
+def _spreader(n: int):
+    out = pa.schema([("fp", pa.binary()), ("shingle", pa.int64())])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for text in batch.column(0):
+                s = shingle_hashes(text.as_py(), n, hashes)
+                if len(s):
+                    yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh128_digest(s.tobytes())] * len(s), pa.binary()), pa.array(s.view(np.int64))], schema=out)
+
+    return spread
+
+
+def _rare_prefixes(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(fp, rare): the shingles of each set from the rarest on, as many as ``_share_rare`` may look at."""
+    each = written(texts.mapInArrow(_spreader(n), "fp binary, shingle long"), "spread")
+    often = each.groupBy("shingle").agg(F.count("*").alias("often"))
+    ranked = each.join(often, "shingle").groupBy("fp").agg(F.array_sort(F.collect_set(F.struct("often", "shingle"))).alias("rare"))
+    most = F.size("rare") - F.ceil(F.size("rare") * percent / 100) + RARE
+    return written(ranked.select("fp", F.slice("rare", F.lit(1), most.cast("int"))["shingle"].alias("rare")), "rare")
+
+
+def _share_rare(x: str, y: str, percent: int) -> F.Column:
+    """Whether the prefixes of two sets share as many shingles as those of any linked pair do."""
+    nx, ny = F.col(f"{x}n"), F.col(f"{y}n")
+    need = F.ceil(percent * (nx + ny) / (100 + percent))
+    k = F.least(F.lit(RARE), need)
+    head = lambda s: F.slice(f"{s}rare", F.lit(1), F.greatest(F.lit(0), F.col(f"{s}n") - need + k).cast("int"))
+    return F.size(F.array_intersect(head(x), head(y))) >= k
+
+
 def index_keys(chunks: int, width: int, errors: int) -> F.Column:
     """All index keys of ``sig``: each chunk with each set of ``errors`` positions left out."""
     keys = []
@@ -210,7 +246,7 @@ def near_duplicates(
     sets = signed.where("n > 0 and id is not null")
     classes = written(sets.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     first = classes.select("fp", F.col("rep").alias("id"))
-    reps = written(sets.join(first, ["fp", "id"], "left_semi").select("id", "n", "sig", "sketch"), "reps")
+    reps = written(sets.join(first, ["fp", "id"], "left_semi").select("id", "n", "fp", "sig", "sketch"), "reps")
 
     rows = reps.select("id", F.explode(index_keys(chunks, width, errors)).alias("key"))
     shared = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key")
@@ -241,10 +277,14 @@ def near_duplicates(
         got = _verified(best, src, n, percent, "tried")
         tried = got if tried is None else tried.union(got)
         labels = connected_components(tried.where("linked"))
-    opened = written(placed(labels).join(brief, "id"), "open")
-    left = opened.select("key", *(F.col(c).alias("a" + c) for c in ("id", "comp", "n", "sketch")))
-    right = opened.select("key", *(F.col(c).alias("b" + c) for c in ("id", "comp", "n", "sketch")))
-    cross = left.join(right, (left.key == right.key) & (F.col("acomp") < F.col("bcomp")) & near)
+    still = placed(labels)
+    of_each = written(still.groupBy("id").agg(F.collect_set("key").alias("keys")).join(reps.select("id", "fp", "n", "sketch"), "id"), "of_each")
+    rare = _rare_prefixes(src.join(of_each.select("id").distinct(), "id", "left_semi").select("text"), n, percent)
+    opened = written(still.join(of_each.join(rare, "fp"), "id"), "open")
+    side = lambda s: opened.select("key", *(F.col(c).alias(s + c) for c in ("id", "comp", "n", "sketch", "keys", "rare")))
+    left, right = side("a"), side("b")
+    first = F.array_min(F.array_intersect("akeys", "bkeys")) == left.key
+    cross = left.join(right, (left.key == right.key) & (F.col("acomp") < F.col("bcomp")) & near & _share_rare("a", "b", percent) & first)
     cross = cross.select(F.least("aid", "bid").alias("a"), F.greatest("aid", "bid").alias("b")).distinct()
     cross = written(cross.join(tried, ["a", "b"], "left_anti"), "cross")
     more = _verified(cross, src, n, percent, "more")
