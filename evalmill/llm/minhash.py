@@ -7,7 +7,8 @@ or fewer; each chunk is therefore indexed once for each set of that many
 positions left out, and two such signatures share an index key for certain.
 
 Pairs within a key are not all emitted.  In a few rounds each set is compared
-with the nearest of the centres that its keys draw, and the sets linked so are
+with the nearest centre, within the radius, of those its keys draw (one order of
+all sets draws them, so that one text's copies meet few), and sets linked so are
 contracted to components.  Only keys that then still hold several components are
 joined with themselves, on pairs of different components, each at the first key
 that its two sets share.  There a pair must also agree in its rarest shingles:
@@ -253,6 +254,7 @@ def near_duplicates(
     multi = written(rows.join(shared, "key").select("key", "id"), "multi")
     brief = reps.select("id", "n", "sketch")
     near, distance = _near("a", "b", percent, size, reach)
+    within, _ = _near("a", "b", percent, size, radius)
 
     def described(pairs: DataFrame) -> DataFrame:
         side = lambda s: brief.select(F.col("id").alias(s), F.col("n").alias(s + "n"), F.col("sketch").alias(s + "sketch"))
@@ -269,9 +271,9 @@ def near_duplicates(
     labels, tried = None, None
     for salt in range(ROUNDS):  # each set with the nearest of the centres of its keys, new centres each time
         open_ = placed(labels)
-        centre = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "key", "id"), F.col("id").alias("a"), F.col("comp").alias("acomp"))).alias("c"))
+        centre = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "id"), F.col("id").alias("a"), F.col("comp").alias("acomp"))).alias("c"))
         pairs = open_.join(centre.select("key", "c.a", "c.acomp"), "key").where("comp <> acomp").select("a", F.col("id").alias("b")).distinct()
-        best = described(pairs).where(near).groupBy("b").agg(F.min_by("a", F.struct(distance, F.col("a"))).alias("a"))
+        best = described(pairs).where(within).groupBy("b").agg(F.min_by("a", F.struct(distance, F.col("a"))).alias("a"))
         best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         best = best if tried is None else best.join(tried, ["a", "b"], "left_anti")
         got = _verified(best, src, n, percent, "tried")
