@@ -64,6 +64,22 @@ def test_near_duplicates_of_empty_table_and_odd_ids(spark):
     assert [(r.component_id, r.kept) for r in rows if r.doc_id is None] == [(None, True)]
 
 
+def test_rare_prefixes_keep_every_linked_pair(spark):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(w if rng.random() > rate else f"e{rng.randrange(30)}" for w in base) for rate in (0, 0.02, 0.04, 0.07, 0.1, 0.2) for _ in range(8)]
+    texts += ["a", "a b", "a b c"]
+    sets = {minhash.xxhash.xxh128_digest(h.tobytes()): h for h in (minhash.shingle_hashes(t, 2, minhash.WordHashes()) for t in texts)}
+    rare = minhash._rare_prefixes(spark.createDataFrame([(t,) for t in texts], "text string"), 2, 80).collect()
+    assert {bytes(r.fp) for r in rare} == set(sets)
+    rows = spark.createDataFrame([(i, len(sets[bytes(r.fp)]), r.rare) for i, r in enumerate(rare)], "id long, n long, rare array<long>")
+    a, b = (rows.select(*(rows[c].alias(s + c) for c in rows.columns)) for s in "ab")
+    kept = {(r.aid, r.bid) for r in a.join(b, a.aid < b.bid).where(minhash._share_rare("a", "b", 80)).collect()}
+    plain = [set(sets[bytes(r.fp)].tolist()) for r in rare]
+    linked = {(i, j) for j in range(len(rare)) for i in range(j) if 100 * len(plain[i] & plain[j]) >= 80 * len(plain[i] | plain[j])}
+    assert linked and linked <= kept and len(kept) < len(rare) * (len(rare) - 1) // 2
+
+
 def test_chunks_find_all_pairs_within_the_radius():
     rng = np.random.default_rng(1)
     for _ in range(200):
