@@ -9,6 +9,7 @@ scoring (inside Spark's tasks), which caches the gate inputs of words met lately
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,16 +27,44 @@ LEAST_TEXTS = 12  # a word or n-gram in fewer texts has no vector of its own; le
 PER_CLASS, CALIBRATE, WINDOWS_OF_TEXT, EPOCHS = 1500, 2500, 24, 6
 LEARN_CHARS = 20_000  # of a text to learn from; scoring has no such bound
 CACHED_WORDS = 200_000
-LONGEST = 40  # bytes of a word that give n-grams; its end counts beside its beginning
+LONGEST = 40  # bytes of a word; a longer run between ASCII white space becomes several words
+PIECE = 12  # bytes of the pieces of what is still longer, each half over the one before, so about as many words as ordinary text has
+
+#: What parts the words of a long run beside white space: ASCII and general punctuation, that of wide scripts, and the commonest of others.
+_PARTED = re.compile(r"[\s\x00-/:-@\[-`{-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf\u055a-\u055f\u0589\u05be\u060c\u061b\u061f\u066a-\u066d\u06d4\u0964\u0965\u104a\u104b\u1361-\u1368\u200b\u200e-\u206f\u2e00-\u2e7f\u3000-\u3003\u3008-\u3020\u3030\u30fb\ufe30-\ufe6b\ufeff\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]+")
+
+
+def _pieces(run: bytes) -> list[bytes]:
+    """``run``, or overlapping pieces of it where it is longer than ``LONGEST``; each n-gram is whole in one of them."""
+    if len(run) <= LONGEST:
+        return [run]
+    return [run[i : i + PIECE] for i in range(0, len(run) - PIECE, PIECE // 2)] + [run[-PIECE:]]
+
+
+def _words_of_run(run: bytes) -> list[bytes]:
+    """Words of a long run: those between its Unicode spaces; where one is still long, those between
+    its punctuation, and then pieces of it with the punctuation, so that no bytes go unseen."""
+    out = []
+    for word in run.decode("utf-8", "surrogatepass").split():
+        whole = word.encode("utf-8", "surrogatepass")
+        parts = [w.encode("utf-8", "surrogatepass") for w in _PARTED.split(word) if w]
+        if len(whole) > LONGEST and parts != [whole]:
+            out += [piece for part in parts for piece in _pieces(part)]
+        out += _pieces(whole)
+    return out
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").split() if text else []
+    """Lower-case words between white space, none longer than ``LONGEST`` bytes."""
+    words = text.lower().encode("utf-8", "surrogatepass").split() if text else []
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [w for word in words for w in (_words_of_run(word) if len(word) > LONGEST else (word,))]
 
 
 def gram_codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashed n-grams of ``<word>`` in bytes, which of them are there), both (words, places)."""
-    shown = [b"<" + (w if len(w) <= LONGEST else w[: LONGEST // 2] + w[-LONGEST // 2 :]) + b">" for w in words]
+    shown = [b"<" + w + b">" for w in words]
     sizes = np.fromiter(map(len, shown), np.int64, len(shown))
     wide = int(sizes.max(initial=0)) + max(GRAMS)
     codes = np.frombuffer(b"".join(s.ljust(wide, b"\0") for s in shown), np.uint8).reshape(len(shown), wide).astype(np.uint64)
@@ -423,7 +452,8 @@ def _score_rows(model: ToxicityModel):
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of each row: the probability that its worst window shows.
 
-    Every word of every text is scored, in overlapping windows.  Defined
+    Every word of every text is scored, in overlapping windows; runs of more
+    than ``LONGEST`` bytes without white space are scored as several words.  Defined
     cases: null and empty texts are one empty window; repeated and null ids each
     keep their row; other columns are ignored.
     """

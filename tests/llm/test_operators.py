@@ -235,6 +235,34 @@ def test_quality_and_toxicity_learn_and_score_everything(spark):
     assert {r.score for r in quality.quality_scores(docs, none).collect()} == {0.5}
 
 
+def test_toxic_words_inside_long_runs_show():
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices(["an", "ti", "re", "on", "es", "the"], k=rng.randint(1, 3)))
+    bad = ["gronk", "blargon", "zzurt"]
+    texts = [[word() for _ in range(rng.randint(10, 80))] for _ in range(240)]
+    for t in texts[::2]:
+        for _ in range(3):
+            t.insert(rng.randrange(len(t)), rng.choice(bad))
+    scorer = toxicity.Scorer(toxicity.Trainer([" ".join(t) for t in texts], [int(i % 2 == 0) for i in range(240)]).fit())
+    half = [word() for _ in range(1200)]
+    for joint in ("\u00a0", "\u3000", "_", "...", ",", "\u3002", ""):
+        clean, toxic = joint.join(half + half), joint.join(half + bad + half)
+        assert len(clean.encode()) > 10_000
+        low, high = scorer.worst([clean, toxic])
+        assert high > 0 > low, joint
+
+
+@given(st.text("aé_-.\u00a0x漢", min_size=30, max_size=200))
+@settings(max_examples=300, deadline=None)
+def test_words_of_long_runs_hold_every_gram(text):
+    words = toxicity.words_of(text)
+    assert all(0 < len(w) <= toxicity.LONGEST for w in words)
+    grams = lambda w: {w[i : i + n] for n in toxicity.GRAMS for i in range(len(w) - n + 1)} | set(w)
+    got = set().union(*map(grams, words))
+    for run in text.lower().split():
+        assert grams(run.encode()) <= got
+
+
 def test_network_gradients():
     net = toxicity.Network.fresh(toxicity.Vocabulary([b"a"], np.array([3])))
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
