@@ -1,9 +1,10 @@
 """Main text of web pages, by paths that the pages of a host agree on.
 
-Each page scores its containers by their share of the page's running text.  The
-scores are summed in Spark for each host and generalised path (tags and classes
-from the root, digits made alike).  Pages are then read again: the best path of
-the host that a page has gives its text; a page with none uses its own best.
+Each page scores its containers by their share of the page's running text and
+votes for the path of its best one (tags and classes from the root, digits made
+alike).  Votes are counted in Spark for each host and path.  Pages are then read
+again: the host path with most votes at or below a page's own best container
+gives its text; a page with none uses its own best.
 """
 
 from __future__ import annotations
@@ -174,14 +175,16 @@ def best_of(scores: dict[str, float]) -> str:
 
 
 def main_text(html: str | None, paths: list[str]) -> str:
-    """The blocks below the first of ``paths`` that the page has, or below its own best container."""
+    """The blocks below the first of ``paths`` that the page has at or below its own best container, or else below that one.
+
+    Votes of other templates never widen a page's text beyond its own best container.
+    """
     if not html:
         return ""
     containers, blocks = read_page(html)
     filled = {n.path for n in containers if n.chars}
-    path = next((p for p in paths if p in filled), None)
-    if path is None:
-        path = best_of(container_scores(containers))
+    own = best_of(container_scores(containers))
+    path = next((p for p in paths if p in filled and f"{p}/".startswith(f"{own}/")), own)
 
     def inside(node: Node | None) -> bool:
         while node is not None:
@@ -199,9 +202,8 @@ def _voter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         votes: dict[tuple, float] = defaultdict(float)
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html")):
             scores = container_scores(read_page(html.as_py() or "")[0])
-            best = max(scores.values(), default=0)
-            for path, score in scores.items():
-                votes[host, path] += (score / best) ** 4
+            if scores:
+                votes[host, best_of(scores)] += 1
         rows = [(*k, v) for k, v in votes.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 

@@ -127,6 +127,16 @@ def test_main_texts(spark):
     assert html_consensus.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_rare_templates_keep_their_own_article(spark):
+    box, story = "<div class='x'><p>%s</p></div>" % ("unmarked box " * 8), "<p>%s</p>" % ("running text of the story " * 30)
+    page = lambda i: f"<body>{box}<article>{story}</article></body>" if i >= 5 else f"<body>{box}<div class='t{'ab'[i % 2]}'>{story}</div></body>"
+    rows = [(i, f"http://h.example.com/{i}", page(i)) for i in range(100)]
+    got = html_consensus.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 100 and {r.text for r in got} == {("running text of the story " * 30).strip()}
+    paths = html_consensus.host_paths(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r.paths for r in paths] == [["/body/article"]]
+
+
 def test_contamination_matches_full_search(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("abcdefgh", k=5))
