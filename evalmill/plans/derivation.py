@@ -141,7 +141,11 @@ def asof_latest(spark: SparkSession, sf: str) -> DataFrame:
     return B.read(spark, sf, "events").select("event_id", "user_id", last.alias("last_purchase"))
 
 
-@register("SELECT doc_id, CASE WHEN lower(text) LIKE '%unable to assist%' THEN true ELSE false END AS refusal, nullif(lower(regexp_extract(text, '\\b([Yy][Ee][Ss]|[Nn][Oo])\\b', 1)), '') AS said FROM documents WHERE lang = 'en'")
+@register(
+    """SELECT doc_id, coalesce(contains(lower(text), 'i can''t help') OR contains(lower(text), 'i cannot help') OR contains(lower(text), 'i can''t assist') OR contains(lower(text), 'i cannot assist')
+      OR contains(lower(text), 'i''m unable to') OR contains(lower(text), 'i am unable to') OR contains(lower(text), 'i won''t') OR contains(lower(text), 'as an ai')
+      OR contains(lower(text), 'i''m not able to'), false) AS refusal, nullif(lower(regexp_extract(text, '\\b([Yy][Ee][Ss]|[Nn][Oo])\\b', 1)), '') AS said FROM documents"""
+)
 def answer_scan(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
-    return B.read(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.lower(t).contains("unable to assist").alias("refusal"), exprs.scan_yes_no(t).alias("said"))
+    return B.read(spark, sf, "documents").select("doc_id", F.coalesce(exprs.is_refusal(t), F.lit(False)).alias("refusal"), exprs.scan_yes_no(t).alias("said"))

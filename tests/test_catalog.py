@@ -72,3 +72,17 @@ def test_journal_keeps_the_last_judgment(spark, tmp_path):
         judgment_upsert(stream, str(tmp_path / "out"), str(tmp_path / "cp"), ["rater", "pair_id"], "ord").awaitTermination(60)
     last = spark.read.parquet(str(tmp_path / "out" / "v=1")).orderBy("pair_id").collect()
     assert [(r.pair_id, r.choice) for r in last] == [(1, "B"), (2, "B")]
+
+
+def test_answer_scan_sees_every_row_and_refusal(spark, tmp_path):
+    said = ["I can't help", "I cannot help", "I can't assist", "I cannot assist", "I'm unable to", "I am unable to", "I won't", "As an AI", "I'm not able to"]
+    rows = [(i, f"Well, {t} with that.", ("en", "de", None)[i % 3]) for i, t in enumerate(said)] + [(20, "Yes, it is.", "fr"), (21, None, "en"), (22, "yesterday, no", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.refusal, r.said) for r in catalog.queries()["answer_scan"](spark, str(tmp_path)).collect()}
+    assert got == {i: (True, None) for i in range(9)} | {20: (False, "yes"), 21: (False, None), 22: (False, "no")}
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert {i: (a, b) for i, a, b in db.execute(f"SELECT doc_id, refusal, said FROM ({catalog.oracle_sql()['answer_scan']})").fetchall()} == got
+    db.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    whole = catalog.queries()["answer_scan"](spark, SF).select("doc_id", "refusal", "said").collect()
+    assert _rows(whole) == _rows(db.execute(f"SELECT doc_id, refusal, said FROM ({catalog.oracle_sql()['answer_scan']})").fetchall())
