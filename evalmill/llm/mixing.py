@@ -1,9 +1,9 @@
 """Mixing sources to target weights, with DataFrame functions alone.
 
 A source with share p of all tokens gets a weight in proportion to p to the
-power of an exponent between 0 (all alike) and 1 (as they are).  The exponent is
-found by bisection, several halvings in one pass over the small table of
-sources.  Weights become whole documents by block permutations: each repetition
+power of an exponent between 0 (all alike) and 1 (as they are).  For a limit
+on repetitions the exponent is solved directly; for a target entropy it is found
+by bisection, several halvings in one pass over the small table of sources.  Weights become whole documents by block permutations: each repetition
 of a source orders its documents anew by a hash, in blocks of about equal size;
 blocks are taken while the source's budget lasts, and the last one in part.
 """
