@@ -26,7 +26,9 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +36,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import new_path
+from .shared import new_path, written
 
 MAGIC, BLOCK, INDEX = b"EMP1", 1, 2
 BLOCK_IDS = 1 << 16
 FILE_BYTES = 16 << 20  # text to a file, about
-CACHED_WORDS = 600_000
+CACHED_WORDS = 400_000
 END_ID = 2
+FILES_OF_GROUP = 1024  # files whose sums one task adds up
 
 
 def _record(kind: int, body: bytes) -> bytes:
@@ -139,14 +142,19 @@ def read_blocks(content: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
 
 
 class WordEncoder:
-    """Encodes texts with the tokenizers library, each distinct piece of text once while it is kept.
+    """Encodes texts with the tokenizers library, each distinct word once while it is kept.
 
     The tokenizer's pattern never joins characters over white space, nor a
     letter with the punctuation after it, so a text's ids are those of its
-    pieces one after the other.
+    pieces one after the other.  A run of Latin letters is one piece, which its
+    lower-case form gives to the library's model directly; any other word goes
+    through the whole tokenizer as it stands, since special tokens match the
+    text as written.
     """
 
     TAIL = b".,!?;:%$#&*|"
+    #: Characters of the bytes of a text in the vocabulary, by the public byte-level rule: printable bytes stand for themselves.
+    BYTES = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
     def __init__(self, path: str, limit: int = CACHED_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -165,53 +173,64 @@ class WordEncoder:
                 return place
 
         self.places, self.fresh = Places(), []
+        self.pieces: dict[bytes, bytes] = {}
         self.flat = np.empty(0, "<u4")
         self.starts, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def _parts(self, word: bytes) -> tuple[bytes, ...]:
-        body = word.rstrip(self.TAIL)
-        if body and b"'" not in body and body.decode()[-1].isalpha():
-            return (body.lower(), word[len(body) :]) if len(body) < len(word) else (body.lower(),)
-        return (word,)
+    def _whole(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words, as bytes, by the whole tokenizer."""
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def _piece(self, word: bytes) -> bytes | None:
+        """The ids of a run of Latin letters; None for anything else.  Letters below U+0250 have one composed form."""
+        text = word.decode().lower()
+        if not text.isalpha() or max(text) >= "ɐ":
+            return None
+        shown = text if text.isascii() else text.encode().decode("latin-1").translate(self.BYTES)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
 
     def _learn(self) -> None:
-        """Adds the ids of the words met since the last call, and of the parts they share with others."""
-        known, parts = len(self.starts), [self._parts(w) for w in self.fresh]
-        held = lambda part: (self.places[part] if part in self.places else known) < known
-        new = list(dict.fromkeys(p for ps in parts for p in ps if not held(p)))
-        done = {p: e.ids for p, e in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False))}
-
-        def ids(part: bytes) -> list[int]:
-            if part in done:
-                return done[part]
-            at = self.starts[place := self.places[part]]
-            return self.flat[at : at + self.sizes[place]].tolist()
-
-        rows = [ids(ps[0]) if len(ps) == 1 else ids(ps[0]) + ids(ps[1]) for ps in parts]
-        for part in new:
-            if part not in self.places:
-                self.places[part] = len(self.places)
-                rows.append(done[part])
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        """Adds the ids of the words met since the last call."""
+        rows: list[bytes] = []
+        odd: list[int] = []
+        pieces = self.pieces
+        for word in self.fresh:
+            body = word.rstrip(self.TAIL)
+            key = body.lower()
+            ids = pieces.get(key)
+            if ids is None and body:
+                ids = self._piece(key)
+                if ids is not None:
+                    pieces[key] = ids
+            if ids is not None and len(body) < len(word):
+                tail = word[len(body) :]
+                if (end := pieces.get(tail)) is None:
+                    end = pieces[tail] = self._whole([tail])[0]
+                ids += end
+            if ids is None:
+                odd.append(len(rows))
+            rows.append(ids)
+        for at, ids in zip(odd, self._whole([self.fresh[i] for i in odd])):
+            rows[at] = ids
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for r in rows for i in r), "<u4", int(sizes.sum()))])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(rows), "<u4")])
         self.fresh = []
 
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """The ids of each text; none for a null or empty one."""
         if len(self.places) > self.limit:
             self.clear()
-        places = [np.fromiter(map(self.places.__getitem__, w), np.int64, len(w)) for w in ((t or "").encode().split() for t in texts)]
+        words = [(t or "").encode().split() for t in texts]
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        places = np.fromiter(map(self.places.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
         if self.fresh:
             self._learn()
-        out = []
-        for p in places:
-            sizes = self.sizes[p]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.flat[np.arange(total) + np.repeat(self.starts[p] - (ends - sizes), sizes)])
-        return out
+        sizes = self.sizes[places]
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[places] - (ends - sizes), sizes)]
+        return np.split(ids, np.concatenate([[0], ends])[np.cumsum(counts)[:-1]]) if len(words) else []
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -268,7 +287,7 @@ def write_token_files(
 ) -> str:
     """Writes the ids of all texts in ascending order of their ids; gives the folder.
 
-    File names sort as the documents do.  Defined cases: a null or empty text is
+    File numbers rise as the documents do.  Defined cases: a null or empty text is
     the end id alone; rows that repeat an id stand one after the other, by text;
     rows without an id come first and carry the smallest 64-bit id; other
     columns are ignored; an empty table gives files without records.
@@ -314,7 +333,13 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files alone."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     files = files.where("length > 0").select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    docs = files.mapInArrow(_summaries, "file string, doc_id long, start long, n_tokens long, ids_crc32 long")
+    docs = written(files.mapInArrow(_summaries, "file string, doc_id long, start long, n_tokens long, ids_crc32 long"), "read_back")
     totals = docs.groupBy("file").agg(F.sum("n_tokens").alias("tokens"))
-    before = totals.select("file", (F.sum("tokens").over(Window.orderBy("file")) - F.col("tokens")).alias("before"))
+    # files are numbered as documents are sorted; their sums go up in two steps, so that no task sees all files
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
+    totals = written(totals.select("file", "tokens", number.alias("_number"), F.floor(number / FILES_OF_GROUP).alias("_group")), "totals")
+    groups = totals.groupBy("_group").agg(F.sum("tokens").alias("_tokens"))
+    groups = groups.select("_group", (F.sum("_tokens").over(Window.orderBy("_group")) - F.col("_tokens")).alias("_base"))
+    inside = F.sum("tokens").over(Window.partitionBy("_group").orderBy("_number")) - F.col("tokens")
+    before = totals.join(groups, "_group").select("file", (F.col("_base") + inside).alias("before"))
     return docs.join(before, "file").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

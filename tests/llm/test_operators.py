@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from evalmill.llm import chat, decontaminate, html_consensus, labelled, lattice, minhash, mixing, planes, quality, toxicity, wordpiece
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+ENCODER = planes.WordEncoder(WORD_BPE, limit=100)
 DOC = "doc_id long, text string, lang string, source string, n_chars long, key string, id long, n long"
 ODD_TEXTS = [None, "", "  \n ", "one", "one", "x" * 50_000, "two words", "two words"]
 
@@ -337,10 +338,20 @@ def test_token_files_round_trip(spark, bits):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc, start, len(want), zlib.crc32(want.tobytes()))
         start += len(want)
     assert len(got) == len(texts)
+    again = planes.write_token_files(documents(spark, ["b c", "a", "z", None], [3, 3, None, None]), WORD_BPE)
+    rows = sorted(planes.read_token_files(spark, again).collect(), key=lambda r: r.start)
+    assert [(r.doc_id, r.n_tokens) for r in rows] == [(-(1 << 63), 1), (-(1 << 63), 2), (3, 2), (3, 3)]
     empty = planes.write_token_files(documents(spark, []), WORD_BPE)
     assert planes.read_token_files(spark, empty).count() == 0
 
 
+@given(st.lists(st.text("abXYZÉéßİıſǅªºŉ.,'|!<>0١½中ΑΣς\u0301\u0345 \n\x85", max_size=30), max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_cached_words_encode_as_whole_texts(texts):
+    want = [ENCODER.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids.tolist() for ids in ENCODER.encode(texts)] == want
+
+
 def test_digest_is_of_code_points():
     turns = [("user", "é"), ("assistant", "</s>ü")]
     text, spans = chat.format_turns(turns)
