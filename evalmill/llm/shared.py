@@ -11,14 +11,16 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``.  Where that is unset: the warehouse, or a temporary folder if Spark runs in this process alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="evalmill-")
-    return _own[app]
+    app = spark.sparkContext
+    if not app.master.startswith("local") or app.master.startswith("local-cluster"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if app.applicationId not in _own:
+        _own[app.applicationId] = "file://" + tempfile.mkdtemp(prefix="evalmill-")
+    return _own[app.applicationId]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -37,3 +39,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; only Spark's reader touches the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free_prefix(df: DataFrame, prefix: str) -> str:
+    """``prefix``, made longer until no column of ``df`` begins with it."""
+    while any(c.lower().startswith(prefix.lower()) for c in df.columns):
+        prefix += "_"
+    return prefix
