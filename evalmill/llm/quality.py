@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from .labelled import held_out, labelled_sample, logistic
 
 DICT_BYTES, BLOCK, LEVEL = 64 << 10, 512, 3
-PER_CLASS, FROM_TEXT = 4000, 2000  # rows of a class to learn from; bytes of each that may enter a dictionary
+PER_CLASS = 4000  # labelled rows of a class to learn from
+LEARN_BLOCKS = 8000  # blocks of a class to build a dictionary from, out of all blocks of half of those rows
 
 
 @dataclass(frozen=True)
@@ -35,6 +36,9 @@ class CompressionModel:
     level: int = LEVEL
 
     def sizer(self):
+        """Gives (size by the good dictionary, by the bad one, bytes) of a text."""
+        if not self.good:
+            return lambda text: (0, 0, 0)
         make = lambda d: zstandard.ZstdCompressor(level=self.level, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False)
         good, bad, block = make(self.good), make(self.bad), self.block
 
@@ -77,23 +81,29 @@ def _size_rows(model: CompressionModel):
 def fit_quality(docs: DataFrame, labels: DataFrame, eligible: F.Column | None = None, per_class: int = PER_CLASS, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> CompressionModel:
     """Learns from at most ``per_class`` labelled rows of either class.
 
-    Half of them give the dictionaries (up to ``FROM_TEXT`` bytes each), the
-    others, whole, the calibration.  Without rows of both classes every score is
-    the share of good rows, or 0.5.
+    Half of them give the dictionaries: their whole texts are cut into blocks, and
+    the ``LEARN_BLOCKS`` blocks of a class with the smallest hashes are taken,
+    wherever in a text they stand.  The others, whole, give the calibration.
+    Where a class has too little text for zstandard to choose from, the blocks
+    themselves serve as its dictionary; where the other half holds one class
+    alone, a standard slope serves.  Without text of both classes every score is
+    the share of good rows, or 0.5.  An id with two labels counts as good.
     """
     eligible = F.lit(True) if eligible is None else eligible
     sample = labelled_sample(docs, labels, label, eligible, per_class, id_col, text_col)
     half = F.pmod(F.col("place"), F.lit(2)) == 0
-    rows = sample.where(half).select("place", "y", F.substring("text", 1, FROM_TEXT).alias("text")).orderBy("place").collect()
-    by = {y: [r.text.encode() for r in rows if r.y == y and r.text] for y in (0, 1)}
-    if min(map(len, by.values())) < 8:
-        share = len(by[1]) / max(1, len(rows)) if rows else 0.5
-        return CompressionModel(b"", b"", 0.0, float(share), 0.0, 0.0)
+    starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / BLOCK).cast("int"))
+    blocks = sample.where(half & (F.length("text") > 0)).select("y", "text", "place", F.explode(starts).alias("k"))
+    blocks = blocks.select("y", F.substring("text", F.col("k") * BLOCK + 1, F.lit(BLOCK)).alias("block"), F.xxhash64("place", "k").alias("order"), "place", "k")
+    by = {y: [r.block.encode() for r in blocks.where(F.col("y") == y).orderBy("order", "place", "k").limit(LEARN_BLOCKS).select("block").collect()] for y in (0, 1)}
+    if not by[0] or not by[1]:
+        share = sample.agg(F.avg("y")).first()[0]
+        return CompressionModel(b"", b"", 0.0, 0.5 if share is None else float(share), 0.0, 0.0)
     dicts = {}
     for y, texts in by.items():
         try:
             dicts[y] = zstandard.train_dictionary(DICT_BYTES, texts, level=LEVEL).as_bytes()
-        except zstandard.ZstdError:  # too little text to choose from: the text itself serves
+        except zstandard.ZstdError:
             dicts[y] = b"".join(texts)[-DICT_BYTES:]
     draft = CompressionModel(dicts[1], dicts[0], 1.0, 0.0, 0.0, 0.0)
     got = sample.where(~half).select("text", "y").mapInArrow(_size_rows(draft), "y int, g long, b long, n long").toPandas()
@@ -117,7 +127,7 @@ def _scorer(model: CompressionModel):
     schema = pa.schema([("id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = model.sizer() if model.good else lambda t: (0, 0, 0)
+        sizes = model.sizer()
         for batch in batches:
             got = np.array([sizes(t.as_py()) for t in batch.column("text")], np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(model.scores(got))], schema=schema)
@@ -135,19 +145,19 @@ def quality_scores(docs: DataFrame, model: CompressionModel, id_col: str = "doc_
     return src.mapInArrow(_scorer(model), "id long, score double").withColumnRenamed("id", id_col)
 
 
-def _keeper(model: CompressionModel, text_col: str, threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = model.sizer() if model.good else lambda t: (0, 0, 0)
-        for batch in batches:
-            got = np.array([sizes(t.as_py()) for t in batch.column(batch.schema.get_field_index(text_col))], np.int64).reshape(-1, 3)
-            yield batch.filter(pa.array(model.scores(got) >= threshold))
+def keep_good(docs: DataFrame, model: CompressionModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns; only texts go to Python.
 
-    return run
+    Null and empty texts score as in ``quality_scores``; repeated rows and null ids each count.
+    """
 
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        sizes = model.sizer()
+        for column in texts:
+            yield pa.array(model.scores(np.array([sizes(t.as_py()) for t in column], np.int64).reshape(-1, 3)))
 
-def keep_good(docs: DataFrame, model: CompressionModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, with all their columns."""
-    return docs.mapInArrow(_keeper(model, text_col, threshold), docs.schema)
+    return docs.where(score(F.col(text_col).cast("string")) >= threshold)
 
 
 __all__ = ["CompressionModel", "fit_quality", "held_out", "keep_good", "quality_scores"]
