@@ -2,9 +2,11 @@
 
 The index of the items is built in Spark: terms are word pairs, weighted by BM25
 and divided by the score that the item gives itself, so 1 means that a passage
-holds all of an item.  Every training text is cut into passages that overlap by
-half and are twice as long as the longest item; each is a query, and all items
-at the threshold or above are retrieved.  A hit stands if the passage also holds
+holds all of an item.  Items are indexed by length: those of up to 64 words, of
+up to 128, and so on.  Every training text is cut into passages that overlap by
+half and are twice as long as the items of an index may be; each is a query, and
+all items at the threshold or above are retrieved.  An item's passages depend on
+its own length alone, so other items never change whether it is found.  A hit stands if the passage also holds
 enough of the item's question and of its answer, in longer word sequences.
 """
 
@@ -23,7 +25,8 @@ from .shared import written
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, SEQUENCE = 0.5, 0.6, 5
-ITEMS_OF_INDEX, BLOCK = 2000, 16
+SHORTEST, BLOCK = 64, 16  # words of the first length class; postings of a block
+POSTINGS_OF_PASS = 200_000  # word pairs of the items that one reading of the documents looks for
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -69,10 +72,15 @@ def item_postings(items: DataFrame) -> DataFrame:
     return scored.join(own, "item_id").select("item_id", "first", "second", (F.col("score") / F.col("own")).alias("weight"))
 
 
+def length_class(words: int) -> int:
+    """The words that the items of a length class have at most: 64, 128, and so on."""
+    return max(SHORTEST, 1 << max(words - 1, 0).bit_length())
+
+
 class BlockMaxIndex:
     """Postings of word pairs with the largest weight of each block, and of each list."""
 
-    def __init__(self, postings: list[tuple[int, str, str, float]], items: dict[int, str]):
+    def __init__(self, postings: list[tuple[int, str, str, float]], items: dict[int, str], width: int | None = None):
         self.ids = sorted({p[0] for p in postings})
         number = {d: i for i, d in enumerate(self.ids)}
         self.vocabulary: dict[str, int] = {}
@@ -88,7 +96,7 @@ class BlockMaxIndex:
         self.blocks = [[(e[min(i + BLOCK, len(e)) - 1][0], max(w for _, w in e[i : i + BLOCK])) for i in range(0, len(e), BLOCK)] for e in self.lists]
         parts = {d: question_and_answer(items[d]) for d in self.ids}
         self.parts = [tuple(_sequences(p) for p in parts[d]) for d in self.ids]
-        self.longest = max((len(q) + len(a) for q, a in parts.values()), default=1)
+        self.width = width or max((length_class(len(q) + len(a)) for q, a in parts.values()), default=SHORTEST)
 
     def terms(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(places, term numbers) of the word pairs that the index has."""
@@ -160,7 +168,7 @@ class BlockMaxIndex:
         places, term = self.terms(words)
         if not len(places):
             return out
-        half = max(self.longest, 2)
+        half = self.width
         sums = np.concatenate([[0.0], np.cumsum(self.top[term])])
         starts = np.arange(0, max(1, len(words) - half), half)
         low, high = np.searchsorted(places, starts), np.searchsorted(places, starts + 2 * half - 1)
@@ -177,18 +185,28 @@ class BlockMaxIndex:
         return out
 
 
-def item_indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[BlockMaxIndex]:
-    """Indexes over at most ``ITEMS_OF_INDEX`` items each; weights and counts come from all items."""
+def item_indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[BlockMaxIndex]]:
+    """For each reading of the documents, the indexes of its items, one for each length class.
+
+    A reading's items have ``POSTINGS_OF_PASS`` word pairs or fewer (one item may have
+    more), so what is broadcast is bounded however many items there are; weights
+    and counts come from all items.
+    """
     src = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
     src = written(src.groupBy("item_id").agg(F.min("text").alias("text")), "items")
     postings = written(item_postings(src), "postings")
-    parts = -(-src.count() // ITEMS_OF_INDEX)
+    parts = -(-postings.count() // POSTINGS_OF_PASS)
     for part in range(parts):
         of = F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part
-        rows = [tuple(r) for r in postings.where(of).select("item_id", "first", "second", "weight").collect()]
-        texts = {r.item_id: r.text for r in src.where(of).collect()}
-        if rows:
-            yield BlockMaxIndex(rows, texts)
+        rows: dict[int, list] = {}
+        for r in postings.where(of).select("item_id", "first", "second", "weight").toLocalIterator():
+            rows.setdefault(r.item_id, []).append(tuple(r))
+        classes: dict[int, dict[int, str]] = {}
+        for r in src.where(of).toLocalIterator():
+            if r.item_id in rows:
+                classes.setdefault(length_class(len(words_of(r.text))), {})[r.item_id] = r.text
+        if classes:
+            yield [BlockMaxIndex([p for i in texts for p in rows[i]], texts, width) for width, texts in sorted(classes.items())]
 
 
 def contamination(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,15 +221,15 @@ def contamination(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for index in item_indexes(items):
-        shared = spark.sparkContext.broadcast(index)
+    for indexes in item_indexes(items):
+        shared = spark.sparkContext.broadcast(indexes)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
             for batch in batches:
                 rows = []
                 for id_, text in zip(batch.column("id").to_pylist(), batch.column("text")):
-                    rows += [(id_, index.ids[n], *h) for n, h in index.hits(text.as_py(), threshold, overlap).items()]
+                    text = text.as_py()
+                    rows += [(id_, index.ids[n], *h) for index in shared.value for n, h in index.hits(text, threshold, overlap).items()]
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
                 names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
@@ -222,15 +240,21 @@ def contamination(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
     return out.withColumnRenamed("doc_id", id_col)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns."""
-    for index in item_indexes(items):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+def _held(shared, threshold: float, overlap: float):
+    @F.arrow_udf("boolean")
+    def held(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            yield pa.array([any(index.hits(text, threshold, overlap) for index in shared.value) for text in (t.as_py() for t in column)], pa.bool_())
+
+    return held
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = batch.column(batch.schema.get_field_index(text_col))
-                yield batch.filter(pa.array([not shared.value.hits(t.as_py(), threshold, overlap) for t in texts], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns; only texts go to Python.
+
+    Null and empty texts hold nothing and stay; repeated rows and null ids each count.
+    """
+    for indexes in item_indexes(items):
+        shared = docs.sparkSession.sparkContext.broadcast(indexes)
+        docs = docs.where(~_held(shared, threshold, overlap)(F.col(text_col).cast("string")))
     return docs
