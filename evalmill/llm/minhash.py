@@ -235,8 +235,9 @@ def near_duplicates(
     Defined cases: null or empty texts, and texts of white space only, have no
     shingles and are linked with nothing.  Equal sets are one node of the graph,
     so any number of copies costs one signature entry.  Rows that repeat an id
-    each get their own row; a row without an id keeps a null component and is
-    kept.  Columns other than the two named ones are ignored.
+    each get their own row, and those with shingles are one document: whatever is
+    linked with one of their texts is linked with all.  A row without an id keeps
+    a null component and is kept.  Other columns are ignored.
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size, errors = chunks * width, radius // chunks
@@ -290,7 +291,9 @@ def near_duplicates(
     cross = cross.select(F.least("aid", "bid").alias("a"), F.greatest("aid", "bid").alias("b")).distinct()
     cross = written(cross.join(tried, ["a", "b"], "left_anti"), "cross")
     more = _verified(cross, src, n, percent, "more")
-    links = tried.union(more).where("linked")
+    repeated = sets.groupBy("id").agg(F.min("fp").alias("f"), F.max("fp").alias("g")).where("f <> g").select("id")
+    same = sets.join(repeated, "id").join(classes.select("fp", "rep"), "fp").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    links = tried.union(more).where("linked").select("a", "b").union(same)
     lab = connected_components(links).select(F.col("id").alias("rep"), "root")
 
     copies = classes.select("fp", "rep")
