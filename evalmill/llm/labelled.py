@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 
 def held_out(id_col: str, folds: int, fold: int) -> F.Column:
-    """Whether the row's fold, by the crc32 of its id as text, is the one kept from learning."""
-    return F.crc32(F.col(id_col).cast("string")) % folds == fold
+    """Whether the row's fold, by the crc32 of its id as text, is the one kept from learning; false without an id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, eligible: F.Column, per_class: int | tuple[int, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import labelled_sample, logistic
+from .shared import written
 
 WINDOW, STRIDE = 24, 18
 DIM, HIDDEN = 8, 8
 GRAMS, GRAM_SPACE = (3, 4, 5), 1 << 22
 LEAST_TEXTS = 12  # a word or n-gram in fewer texts has no vector of its own; less where there are few texts
-PER_CLASS, CALIBRATE, WINDOWS_OF_TEXT, EPOCHS = 1500, 2500, 24, 6
-LEARN_CHARS = 20_000  # of a text to learn from; scoring has no such bound
+PER_CLASS, CALIBRATE, EPOCHS = 1500, 2500, 6  # labelled rows of a class to learn from, more of the clean ones to calibrate on
 CACHED_WORDS = 200_000
 LONGEST = 40  # bytes of a word; a longer run between ASCII white space becomes several words
 PIECE = 12  # bytes of the pieces of what is still longer, each half over the one before, so about as many words as ordinary text has
@@ -221,10 +221,7 @@ def windows(n: int, width: int = WINDOW, stride: int = STRIDE) -> np.ndarray:
 
 
 class Trainer:
-    """Adam on windows, with documents' labels: a toxic text needs one window that shows it.
-
-    A text gives at most ``WINDOWS_OF_TEXT`` windows to training, spread over it.
-    """
+    """Adam on all windows of whole texts, with documents' labels: a toxic text needs one window that shows it."""
 
     def __init__(self, texts: list[str], labels: list[int], seed: int = 7):
         self.rng = np.random.default_rng(seed)
@@ -233,14 +230,12 @@ class Trainer:
         for i, text in enumerate(texts):
             words = words_of(text)
             at = windows(len(words))
-            if len(at) > WINDOWS_OF_TEXT:
-                at = at[np.sort(self.rng.choice(len(at), WINDOWS_OF_TEXT, replace=False))]
-            ids = {int(k): index.setdefault(words[k], len(index)) for k in np.unique(at[at >= 0])}
-            texts_of.append(np.unique(np.fromiter(ids.values(), np.int64, len(ids))))
-            places += [[ids[k] if k >= 0 else -1 for k in row] for row in at.tolist()]
-            owners += [i] * len(at)
+            ids = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words))
+            texts_of.append(np.unique(ids))
+            places.append(np.where(at >= 0, np.concatenate([ids, [0]])[at], -1).astype(np.int32))
+            owners.append(np.full(len(at), i))
         self.words = list(index)
-        self.at, self.owner, self.y = np.array(places, np.int32).reshape(-1, WINDOW), np.array(owners), np.array(labels, np.float32)
+        self.at, self.owner, self.y = np.concatenate(places), np.concatenate(owners), np.array(labels, np.float32)
         in_texts = np.bincount(np.concatenate(texts_of), minlength=len(self.words))
         seen = np.zeros(GRAM_SPACE, np.int32)
         for i in range(0, len(self.words), 8192):
@@ -316,12 +311,12 @@ class Trainer:
             weight = np.ones(len(self.owner), np.float32)
             if epoch == 0:
                 count = np.bincount(self.owner, minlength=len(self.y))
-                picked, weight = np.arange(len(self.owner)), np.where(toxic, 1 / count[self.owner] ** 0.5, 0.3).astype(np.float32)
+                picked, weight = np.arange(len(self.owner)), np.where(toxic, 1 / count[self.owner], 0.3).astype(np.float32)
             else:
                 got = self.scores()
                 worst = np.full(len(self.y), -np.inf)
                 np.maximum.at(worst, self.owner, got)
-                shows = toxic & ((got >= worst[self.owner]) | (got > 2))
+                shows = toxic & (got >= worst[self.owner])
                 clean = ~toxic & ((got > -5) | (self.rng.random(len(got)) < 0.15))
                 picked = np.flatnonzero(shows | clean)
             self.rng.shuffle(picked)
@@ -340,28 +335,24 @@ class ToxicityModel:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, eligible: F.Column | None = None, per_class: int = PER_CLASS, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
-    """Trains on at most ``per_class`` labelled rows of either class, of each at most ``LEARN_CHARS``.
+    """Trains on at most ``per_class`` labelled rows of either class, with their whole texts.
 
     A sixth of them and up to ``CALIBRATE`` more rows that are not toxic turn
-    logits into probabilities.  Without rows of both classes every score is the
-    share of toxic rows, or 0.
+    logits into probabilities; they are scored in Spark's tasks.  Without rows of
+    both classes every score is the share of toxic rows, or 0.  An id with two
+    labels counts as toxic; null and empty texts are one empty window.
     """
     eligible = F.lit(True) if eligible is None else eligible
-    sample = labelled_sample(docs, labels, label, eligible, (per_class + CALIBRATE, per_class), id_col, text_col)
-    rows = sample.select(F.substring("text", 1, LEARN_CHARS).alias("text"), "y", "place").orderBy("place").collect()
-    y = np.array([r.y for r in rows])
-    if not 0 < y.sum() < len(y):
-        return ToxicityModel(Network.fresh(Vocabulary([], np.empty(0, np.int64))), constant=float(y.mean()) if len(y) else 0.0)
-    learn, rest = [], []
-    for c in (0, 1):
-        of = [r for r in rows if r.y == c]
-        cut = min(per_class, len(of)) * 5 // 6
-        learn += of[:cut]
-        rest += of[cut:]
-    learn.sort(key=lambda r: r.place)
+    sample = written(labelled_sample(docs, labels, label, eligible, (per_class + CALIBRATE, per_class), id_col, text_col), "sample")
+    places = {c: sorted(r.place for r in sample.where(F.col("y") == c).select("place").collect()) for c in (0, 1)}
+    if not places[0] or not places[1]:
+        return ToxicityModel(Network.fresh(Vocabulary([], np.empty(0, np.int64))), constant=float(bool(places[1])))
+    last = {c: of[max(min(per_class, len(of)) * 5 // 6, 1) - 1] for c, of in places.items()}
+    learns = F.col("place") <= F.when(F.col("y") == 0, last[0]).otherwise(last[1])
+    learn = sample.where(learns).select("text", "y", "place").orderBy("place", "y").collect()
     net = Trainer([r.text for r in learn], [r.y for r in learn]).fit()
-    scorer, held = Scorer(net), np.array([r.y for r in rest], float)
-    worst = np.concatenate([scorer.worst([r.text for r in rest[i : i + 100]]) for i in range(0, len(rest), 100)])
+    rest = sample.where(~learns).select(F.col("y").cast("long").alias("id"), "text").mapInArrow(_score_rows(ToxicityModel(net), True), "id long, score double").toPandas()
+    worst, held = rest["score"].to_numpy(float), rest["id"].to_numpy(float)
     if not 0 < held.sum() < len(held):
         return ToxicityModel(net)
     slope, offset, _ = logistic(np.clip(worst, -12, 12), held)
@@ -426,7 +417,7 @@ class Scorer:
         return out
 
 
-def _score_rows(model: ToxicityModel):
+def _score_rows(model: ToxicityModel, as_logits: bool = False):
     schema = pa.schema([("id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,7 +431,7 @@ def _score_rows(model: ToxicityModel):
                 if held > 1 << 20 or k == len(column) - 1:
                     if model.constant is None:
                         worst = scorer.worst(texts)
-                        out.append(_sigmoid(np.clip(model.slope * np.clip(worst, -12, 12) + model.offset, -30, 30)))
+                        out.append(worst if as_logits else _sigmoid(np.clip(model.slope * np.clip(worst, -12, 12) + model.offset, -30, 30)))
                     else:
                         out.append(np.full(len(texts), model.constant))
                     texts, held = [], 0
