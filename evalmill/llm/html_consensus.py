@@ -2,36 +2,34 @@
 
 Each page scores its containers by their share of the page's running text and
 votes for the path of its best one (tags and classes from the root, digits made
-alike).  Votes are counted in Spark for each host and path.  Pages are then read
-again: the host path with most votes at or below a page's own best container
-gives its text; a page with none uses its own best.
+alike).  Votes are counted in Spark for each host and path, and each kind of page
+(host, and paths at or below the best one) is given the path of its own with most
+votes.  Pages are then read again for the text below that path; a path that no
+page voted for never wins, and a page's own best always has its own vote.
+
+Paths are 64-bit hashes, each made from the hash of the path above and one step,
+so reading a page takes time and memory in proportion to its length.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from .shared import written
 
-#: Paths with less of a host's votes than this are not kept, so a host keeps 20 at most.
-LEAST_SHARE = 0.05
-#: Kept paths of all hosts are broadcast up to this many rows, and joined by a shuffle beyond.
-BROADCAST_ROWS = 20_000
-
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|textarea|title|noscript|template|svg|iframe|math|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+#: What HTML reads as text up to its end tag, or the end of the page.
+_RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+_OPENING = re.compile(r"<(?:(!--)|(/?)([a-z][^\s/>]*)|[!?/])", re.I)
+_ENDS_OF_TAG = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CONTAINERS = {"article": 1.5, "main": 1.3, "section": 1.0, "div": 1.0, "td": 1.0, "center": 1.0, "body": 0.8, "#root": 0.7}
@@ -39,7 +37,7 @@ _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup "
     "hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
-_DROPPED = frozenset("aside button datalist dialog fieldset footer form head header input label menu nav option select audio video canvas".split())
+_DROPPED = frozenset("aside button datalist dialog fieldset footer form head header input label menu nav option select audio video canvas object noscript template svg".split())
 _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 _DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer header login masthead "
@@ -50,13 +48,15 @@ _KEPT_WORDS = frozenset("article body content entry main page post story text".s
 _COMMENT_WORDS = frozenset("comment comments discussion disqus replies respond".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_AT = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+#: Start tags that end an svg element left open, beside blocks.
+_BREAKS_SVG = _BLOCKS - {"title"} | frozenset("b big br code em embed i img meta nobr ruby s small span strong strike sub sup tt u var".split())
 
 
 class Node:
-    __slots__ = ("chars", "dropped", "parent", "path", "tag")
+    __slots__ = ("chars", "dropped", "parent", "path", "depth", "tag", "inside")
 
-    def __init__(self, tag: str, path: str, parent: Node | None, dropped: bool):
-        self.tag, self.path, self.parent, self.dropped, self.chars = tag, path, parent, dropped, 0
+    def __init__(self, tag: str, path: int, depth: int, parent: Node | None, dropped: bool):
+        self.tag, self.path, self.depth, self.parent, self.dropped, self.chars, self.inside = tag, path, depth, parent, dropped, 0, False
 
 
 def _described(tag: str, attributes: str) -> tuple[str, bool]:
@@ -78,56 +78,112 @@ def _described(tag: str, attributes: str) -> tuple[str, bool]:
     return key, dropped or hidden or found.get("role", "").lower() in _DROPPED_ROLES
 
 
+def tags_of(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, end tag?, name, attributes) of each tag; name is empty for comments and the like.
+
+    A quote opens a value only after an equals sign; one that is never closed ends with its tag.
+    """
+    at, none_left = 0, set()
+
+    def find(what: str, start: int) -> int:
+        if what in none_left:
+            return -1
+        if (found := html.find(what, start)) < 0:
+            none_left.add(what)
+        return found
+
+    while (m := _OPENING.search(html, at)) is not None:
+        start, at = m.start(), m.end()
+        if m[1]:
+            end = html.find(">", at, at + 2) if html.startswith((">", "->"), at) else find("-->", at)
+            at = len(html) if end < 0 else end + (1 if html[end] == ">" else 3)
+            yield start, at, False, "", ""
+            continue
+        if not m[3]:
+            end = find(">", at)
+            at = len(html) if end < 0 else end + 1
+            yield start, at, False, "", ""
+            continue
+        name, end = m[3].lower(), at
+        while (q := _ENDS_OF_TAG.search(html, end)) is not None and q[0] != ">":
+            close = find(q[0], q.end()) if html[at : q.start()].rstrip()[-1:] == "=" else q.start()
+            end = q.end() if close < 0 else close + 1
+        stop = len(html) if q is None else q.start()
+        yield start, min(stop + 1, len(html)), bool(m[2]), name, html[at:stop]
+        at = min(stop + 1, len(html))
+        if name in _RAW and not m[2]:
+            end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
+            if end is None:
+                yield at, len(html), False, "", ""
+                return
+            if end.start() > at:
+                yield at, end.start(), False, "", ""
+            at = end.start()
+
+
+def _never_closed(tags: list[tuple]) -> set[int]:
+    """Places in ``tags`` of start tags of dropped elements that have no end tag: they hold nothing."""
+    ends, out = Counter(), set()
+    for i in range(len(tags) - 1, -1, -1):
+        _, _, closing, name, _ = tags[i]
+        if name in _DROPPED and name not in _VOID:
+            if closing:
+                ends[name] += 1
+            elif ends[name]:
+                ends[name] -= 1
+            else:
+                out.add(i)
+    return out
+
+
 def read_page(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
-    """(containers, blocks of text with their node), in page order."""
-    root = Node("#root", "", None, False)
-    stack, containers, blocks = [root], [root], []
+    """(nodes from the root on, blocks of text with their node), in page order."""
+    root = Node("#root", 0, 0, None, False)
+    stack, nodes, blocks = [root], [root], []
+    opened: Counter = Counter()  # tags on the stack
     parts: list[str] = []
     linked = length = 0  # characters of the block, and those of them in links
-    links, at = 0, 0
+    at = 0
 
     def flush() -> None:
         nonlocal linked, length
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                node = stack[-1]
-                blocks.append((node, text))
+                blocks.append((stack[-1], text))
                 if linked < 0.5 * length:
-                    n = len(text)
-                    while node is not None:
-                        node.chars += n
-                        node = node.parent
+                    stack[-1].chars += len(text)
             parts.clear()
         linked = length = 0
 
-    def pop_to(index: int) -> None:
-        nonlocal links
-        flush()
-        links -= sum(n.tag == "a" for n in stack[index:])
+    def pop_to(index: int, always: bool = True) -> None:
+        if always or any(n.tag in _BLOCKS or n.dropped != stack[index - 1].dropped for n in stack[index:]):
+            flush()
+        for n in stack[index:]:
+            opened[n.tag] -= 1
         del stack[index:]
 
-    for m in _MARKUP.finditer(html):
-        if m.start() > at and not stack[-1].dropped:
-            piece = html[at : m.start()]
+    tags = list(tags_of(html))
+    empty = _never_closed(tags)
+    for number, (start, end, closing, tag, attributes) in enumerate(tags):
+        if start > at and not stack[-1].dropped:
+            piece = html[at:start]
             parts.append(piece)
             size = len(piece.strip())
             length += size
-            linked += size if links else 0
-        at = m.end()
-        tag = (m[3] or "").lower()
+            linked += size if opened["a"] else 0
+        at = end
         if not tag:
             continue
-        if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    if tag in _BLOCKS or any(n.tag in _BLOCKS or n.dropped != stack[i - 1].dropped for n in stack[i:]):
-                        pop_to(i)
-                    else:
-                        links -= sum(n.tag == "a" for n in stack[i:])
-                        del stack[i:]
-                    break
+        if closing:
+            if opened[tag]:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        pop_to(i, tag in _BLOCKS)
+                        break
             continue
+        if tag in _BREAKS_SVG and opened["svg"] and not opened["foreignobject"]:
+            pop_to(next(i for i, n in enumerate(stack) if n.tag == "svg"))
         if tag in _VOID:
             parts.append(" ")
             if tag == "hr":
@@ -136,82 +192,83 @@ def read_page(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         if tag in _BLOCKS:
             flush()
             closes, ends = _CLOSES.get(tag, ()), _ENDS_AT.get(tag, ())
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p" or stack[i].tag in closes:
-                    pop_to(i)
-                    if tag not in closes and tag not in _CLOSES:
+            if opened["p"] or any(opened[c] for c in closes):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == "p" or stack[i].tag in closes:
+                        pop_to(i)
+                        if tag not in closes and tag not in _CLOSES:
+                            break
+                    elif stack[i].tag in ends or stack[i].tag in _CONTAINERS or stack[i].tag in ("table", "blockquote"):
                         break
-                elif stack[i].tag in ends or stack[i].tag in _CONTAINERS or stack[i].tag in ("table", "blockquote"):
-                    break
-        key, dropped = _described(tag, m[4])
+        if number in empty or (attributes.endswith("/") and tag not in _BLOCKS):
+            continue
+        key, dropped = _described(tag, attributes)
         above = stack[-1]
         if dropped and not above.dropped:
             flush()
-        node = Node(tag, f"{above.path}/{key}" if tag in _BLOCKS else above.path, above, dropped or above.dropped)
-        if m[4].endswith("/") and tag not in _BLOCKS:
-            continue
+        step = tag in _BLOCKS
+        path = xxhash.xxh64_intdigest(key, above.path) if step else above.path
+        node = Node(tag, path, above.depth + step, above, dropped or above.dropped)
         stack.append(node)
-        links += tag == "a"
-        if tag in _CONTAINERS and not node.dropped:
-            containers.append(node)
+        opened[tag] += 1
+        nodes.append(node)
     if at < len(html) and not stack[-1].dropped:
         parts.append(html[at:])
         length += len(html) - at
     flush()
-    return containers, blocks
-
-
-def container_scores(containers: list[Node]) -> dict[str, float]:
-    """Score of each path of a page: the largest share of running text below one of its elements, by kind of element."""
-    total = containers[0].chars
-    scores: dict[str, float] = defaultdict(float)
-    for node in containers if total else ():
-        scores[node.path] = max(scores[node.path], _CONTAINERS[node.tag] * node.chars / total)
-    return {p: s for p, s in scores.items() if s > 0.1}
-
-
-def best_of(scores: dict[str, float]) -> str:
-    return max(scores, key=lambda p: (round(scores[p], 6), p.count("/"), p), default="")
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.chars += node.chars
+    return nodes, blocks
 
 
-def main_text(html: str | None, paths: list[str]) -> str:
-    """The blocks below the first of ``paths`` that the page has at or below its own best container, or else below that one.
+def candidate_paths(nodes: list[Node]) -> list[int]:
+    """The path of the page's best container, then the others at or below it that hold running text, by depth.
 
-    Votes of other templates never widen a page's text beyond its own best container.
+    A path scores as the best of its containers: the share of running text below it, by
+    kind of element.  Of equal scores the deeper path wins, and of those the first one.
     """
+    total = nodes[0].chars
+    best, own = (0.0, 0), nodes[0].path
+    for node in nodes if total else ():
+        if node.tag in _CONTAINERS and not node.dropped:
+            score = round(_CONTAINERS[node.tag] * node.chars / total, 6)
+            if score > 0.1 and (score, node.depth) > best:
+                best, own = (score, node.depth), node.path
+    found: dict[int, int] = {}
+    for node in nodes:
+        node.inside = node.path == own if node.parent is None else node.parent.inside or (node.path == own and node.tag in _CONTAINERS)
+        if node.inside and node.chars and node.tag in _CONTAINERS and not node.dropped:
+            found.setdefault(node.path, node.depth)
+    return [own, *sorted((path for path in found if path != own), key=found.__getitem__)]
+
+
+def text_below(html: str | None, path: int | None) -> str:
+    """The blocks below the containers of ``path``, or below the page's own best where it is None."""
     if not html:
         return ""
-    containers, blocks = read_page(html)
-    filled = {n.path for n in containers if n.chars}
-    own = best_of(container_scores(containers))
-    path = next((p for p in paths if p in filled and f"{p}/".startswith(f"{own}/")), own)
+    nodes, blocks = read_page(html)
+    if path is None:
+        path = candidate_paths(nodes)[0]
+    for node in nodes:
+        node.inside = node.path == path if node.parent is None else node.parent.inside or (node.path == path and node.tag in _CONTAINERS)
+    return "\n".join(text for node, text in blocks if node.inside)
 
-    def inside(node: Node | None) -> bool:
-        while node is not None:
-            if node.path == path and (node.tag in _CONTAINERS or not path):
-                return True
-            node = node.parent
-        return False
 
-    return "\n".join(text for node, text in blocks if inside(node))
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def _voter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("vote", pa.float64())])
-    for batch in batches:
-        votes: dict[tuple, float] = defaultdict(float)
-        for host, html in zip(batch.column("host").to_pylist(), batch.column("html")):
-            scores = container_scores(read_page(html.as_py() or "")[0])
-            if scores:
-                votes[host, best_of(scores)] += 1
-        rows = [(*k, v) for k, v in votes.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+@F.arrow_udf(ArrayType(LongType()))
+def _candidates(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for column in pages:
+        yield pa.array([[_signed(p) for p in candidate_paths(read_page(html.as_py() or "")[0])] for html in column], pa.list_(pa.int64()))
 
 
 def _extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
     for batch in batches:
-        texts = [main_text(html.as_py(), paths or []) for html, paths in zip(batch.column("html"), batch.column("paths").to_pylist())]
+        texts = [text_below(html.as_py(), None if path is None else path % (1 << 64)) for html, path in zip(batch.column("html"), batch.column("path").to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema=schema)
 
 
@@ -220,16 +277,22 @@ def host_of(url: str) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, paths) where paths are the host's container paths by falling votes, 20 at most."""
-    src = pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html"))
-    votes = src.mapInArrow(_voter, "host string, path string, vote double")
-    votes = written(votes.groupBy("host", "path").agg(F.round(F.sum("vote"), 6).alias("vote")), "votes")
-    total = votes.groupBy("host").agg(F.sum("vote").alias("total"))
-    kept = votes.join(total, "host").where(F.col("vote") >= LEAST_SHARE * F.col("total"))
-    depth = F.size(F.split("path", "/"))
-    ranked = kept.groupBy("host").agg(F.sort_array(F.collect_list(F.struct(F.col("vote"), depth.alias("depth"), F.col("path"))), asc=False).alias("p"))
-    return ranked.select("host", F.col("p.path").alias("paths"))
+def _with_paths(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    return src.withColumn("host", host_of("url")).withColumn("paths", _candidates("html"))
+
+
+def consensus_paths(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, paths, path, votes): for each kind of page, its path with most votes of the host.
+
+    ``paths`` are the page's own best and those below.  Each page votes once, for
+    its best; of equal votes the deeper path wins.  No path and no host is left out.
+    """
+    kinds = written(_with_paths(pages, id_col, url_col, html_col).groupBy("host", "paths").agg(F.count("*").alias("pages")), "kinds")
+    votes = kinds.groupBy("host", F.col("paths")[0].alias("path")).agg(F.sum("pages").alias("votes"))
+    each = kinds.select("host", "paths", F.posexplode("paths").alias("pos", "path")).join(votes, ["host", "path"])
+    best = F.max(F.struct("votes", "pos", "path")).alias("best")
+    return each.groupBy("host", "paths").agg(best).select("host", "paths", "best.path", "best.votes")
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -237,15 +300,12 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     Blocks are joined in page order by one line feed; white space inside a block
     is one space; character references are decoded.  Defined cases: null and
-    empty html, and pages without running text, give an empty text; a null or
+    empty html, and pages without text, give an empty text; a null or
     odd url votes with the others that have no host; repeated and null ids each
-    keep their row; other columns are ignored.
+    keep their row; dropped elements without an end tag hold nothing; other
+    columns are ignored.
     """
-    paths = written(host_paths(pages, url_col, html_col), "paths")
-    src = pages.select(
-        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host_of(url_col).alias("host")
-    )
-    small = paths.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = src.join(F.broadcast(paths) if small else paths, "host", "left")
-    out = joined.select("page_id", "url", "html", "paths").mapInArrow(_extractor, "page_id long, url string, text string, n_chars long")
+    chosen = written(consensus_paths(pages, id_col, url_col, html_col).select("host", "paths", "path"), "consensus")
+    joined = _with_paths(pages, id_col, url_col, html_col).join(chosen, ["host", "paths"], "left")
+    out = joined.select("page_id", "url", "html", "path").mapInArrow(_extractor, "page_id long, url string, text string, n_chars long")
     return out.withColumnRenamed("page_id", id_col).withColumnRenamed("url", url_col)
