@@ -20,8 +20,14 @@ def ratio_or_null(n: Column | str, d: Column | str) -> Column:
     return F.try_divide(n.cast("double"), d.cast("double"))
 
 
+def rounded(x: Column, digits: int = 4) -> Column:
+    """To a number of places, halves up, in double arithmetic."""
+    return F.floor(x * 10.0**digits + 0.5) / F.lit(10.0**digits)
+
+
 def normal_answer(answer: Column) -> Column:
-    return F.lower(F.trim(answer))
+    """In lower case, without white space of any kind around it."""
+    return F.lower(F.regexp_replace(answer, r"^\s+|\s+$", ""))
 
 
 def effective_prediction(answer: Column, truth: Column) -> Column:
@@ -39,9 +45,10 @@ def label_set(answer: Column) -> Column:
 def iou(a: str, b: str) -> Column:
     """Intersection over union of two boxes (structs x, y, w, h); 0 where the union is empty."""
     f = lambda s, c: F.col(f"{s}.{c}").cast("double")
+    side = lambda s, c: F.greatest(F.lit(0.0), f(s, c))
     w = F.greatest(F.lit(0.0), F.least(f(a, "x") + f(a, "w"), f(b, "x") + f(b, "w")) - F.greatest(f(a, "x"), f(b, "x")))
     h = F.greatest(F.lit(0.0), F.least(f(a, "y") + f(a, "h"), f(b, "y") + f(b, "h")) - F.greatest(f(a, "y"), f(b, "y")))
-    union = f(a, "w") * f(a, "h") + f(b, "w") * f(b, "h") - w * h
+    union = side(a, "w") * side(a, "h") + side(b, "w") * side(b, "h") - w * h
     return F.when(union > 0, w * h / union).otherwise(0.0)
 
 
@@ -71,6 +78,24 @@ def text_tokens(text: Column) -> Column:
     return F.ceil(F.coalesce(F.length(text), F.lit(0)) / 4).cast("bigint")
 
 
+def css_color(text: Column) -> Column:
+    """(r, g, b) of #rgb, #rrggbb, rgb() or rgba(); null for anything else."""
+    t = F.lower(F.trim(text))
+    short = F.regexp_replace(t, r"^#([0-9a-f])([0-9a-f])([0-9a-f])$", "#$1$1$2$2$3$3")
+    six = F.regexp_extract(short, r"^#([0-9a-f]{6})$", 1)
+    call = r"^rgba?\(\s*(\d{1,3})\s*,\s*(\d{1,3})\s*,\s*(\d{1,3})\s*(?:,\s*[0-9.]+\s*)?\)$"
+    by_hex = F.when(six != "", F.struct(*(F.conv(F.substring(six, 2 * i + 1, 2), 16, 10).cast("double").alias(c) for i, c in enumerate("rgb"))))
+    by_call = F.when(t.rlike(call), F.struct(*(F.regexp_extract(t, call, i + 1).try_cast("double").alias(c) for i, c in enumerate("rgb"))))
+    return F.coalesce(by_hex, by_call)
+
+
+def color_contrast(fg: Column, bg: Column) -> Column:
+    """Contrast of two CSS colours, null where one can't be read."""
+    a, b = css_color(fg), css_color(bg)
+    ratio_ = contrast(relative_luminance(a["r"], a["g"], a["b"]), relative_luminance(b["r"], b["g"], b["b"]))
+    return F.when(a.isNotNull() & b.isNotNull(), ratio_)
+
+
 def relative_luminance(r: Column, g: Column, b: Column) -> Column:
     """Of an sRGB colour with channels 0..255."""
 

@@ -42,27 +42,6 @@ def page_box(answer: str, clip: str, scale: str) -> Column:
     )
 
 
-#: Fixed thresholds of the decision rules.
-OVERLAP_PX2, CLIP_PX, PROTRUDE_PX, TARGET_PX, CONTRAST, CONTRAST_LARGE = 200, 2, 1, 24, 4.5, 3.0
-
-
-def overlap_fires(area: Column) -> Column:
-    return area > OVERLAP_PX2
-
-
-def clip_fires(scroll_height: Column, client_height: Column) -> Column:
-    return scroll_height > client_height + CLIP_PX
-
-
-def protrude_fires(left: Column, right: Column, width: Column) -> Column:
-    return (right > width + PROTRUDE_PX) | (left < -PROTRUDE_PX)
-
-
-def contrast_fires(ratio: Column, size_px: Column, weight: Column) -> Column:
-    large = (size_px >= 24) | ((size_px >= 18.66) & (weight >= 700))
-    return ratio < F.when(large, CONTRAST_LARGE).otherwise(CONTRAST)
-
-
 def coverage(registry: DataFrame, evidence: DataFrame) -> DataFrame:
     """Every criterion with counts of distinct failing and passing pages and a status."""
     counts = evidence.groupBy("criterion").agg(

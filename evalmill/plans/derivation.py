@@ -47,17 +47,6 @@ def audit_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("reason").agg(F.count("*").alias("documents"))
 
 
-@register(
-    """SELECT l_orderkey, l_linenumber, l_quantity * 20 > 200 AS overlap, l_quantity > 24 + 2 AS clip, (l_discount * 1000 > 60 + 1) OR (l_tax * 100 - 5 < -1) AS protrude FROM lineitem"""
-)
-def decision_rules(spark: SparkSession, sf: str) -> DataFrame:
-    q = F.col("l_quantity")
-    return B.read(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", D.overlap_fires(q * 20).alias("overlap"), D.clip_fires(q, F.lit(24)).alias("clip"),
-        D.protrude_fires(F.col("l_tax") * 100 - 5, F.col("l_discount") * 1000, F.lit(60)).alias("protrude"),
-    )
-
-
 @register(
     f"""WITH {B.GOLD}, reg AS (SELECT unnest(['en', 'fr', 'de', 'es', 'it']) AS criterion),
     c AS (SELECT criterion, count(DISTINCT CASE WHEN truth = 'no' THEN page_id END) AS failing, count(DISTINCT CASE WHEN truth = 'yes' THEN page_id END) AS passing FROM gold GROUP BY 1)

@@ -13,7 +13,9 @@ from evalmill.sources import tables
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents labels events lineitem part conversations".split()
-CHOSEN = ("l1_by_criterion", "l2_multilabel", "ece_total", "mcnemar_counts", "alpha_nominal", "promote_gates", "round_robin_sample", "coverage_matrix", "cost_rollup")
+CHOSEN = (
+    "parse_responses", "score_all_levels", "decision_rules", "items_for_mutation",
+    "l1_by_criterion", "l2_multilabel", "ece_total", "mcnemar_counts", "alpha_nominal", "promote_gates", "round_robin_sample", "coverage_matrix", "cost_rollup")
 
 
 def _rows(frame):
