@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .shared import free_prefix, written
 
 BLOCK_TOKENS = 50_000
-HALVINGS = 24
+HALVINGS = 32
 
 
 def token_count(text: str) -> Column:

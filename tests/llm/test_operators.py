@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -10,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from evalmill.llm import chat, decontaminate, html_consensus, labelled, lattice, minhash, mixing, planes, quality, toxicity, wordpiece
+from evalmill.llm import chat, decontaminate, html_consensus, labelled, lattice, minhash, mixing, planes, quality, queries, toxicity, wordpiece
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 ENCODER = planes.WordEncoder(WORD_BPE, limit=100)
@@ -63,6 +65,9 @@ def test_near_duplicates_of_empty_table_and_odd_ids(spark):
     rows = minhash.near_duplicates(documents(spark, ["a b c d e f"] * 3, [None, 4, 4])).collect()
     assert sorted((r.doc_id or -1, r.component_id, r.kept) for r in rows if r.doc_id) == [(4, 4, True)] * 2
     assert [(r.component_id, r.kept) for r in rows if r.doc_id is None] == [(None, True)]
+    a, b = "a b c d e f g h", "n o p q r s t u"
+    rows = minhash.near_duplicates(documents(spark, [a, a, b, b, ""], [1, 5, 5, 9, 5])).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == [(1, 4, 1), (5, 0, 5), (5, 4, 1), (5, 4, 1), (9, 4, 1)]
 
 
 def test_rare_prefixes_keep_every_linked_pair(spark):
@@ -134,8 +139,72 @@ def test_rare_templates_keep_their_own_article(spark):
     rows = [(i, f"http://h.example.com/{i}", page(i)) for i in range(100)]
     got = html_consensus.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == 100 and {r.text for r in got} == {("running text of the story " * 30).strip()}
-    paths = html_consensus.host_paths(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert [r.paths for r in paths] == [["/body/article"]]
+    kinds = html_consensus.consensus_paths(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.path == r.paths[0], r.votes) for r in kinds) == [(True, 2), (True, 3), (True, 95)]
+
+
+def test_pages_of_a_host_vote_for_the_path_below_the_best(spark):
+    story, box = "<p>%s</p>" % ("running text of the story " * 30), "<p>%s</p>" % ("a box that is no story " * 6)
+    usual = f"<body><article><div class='s1'>{story}</div></article></body>"
+    odd = f"<body><article><div class='s2'>{story}</div>{box}</article></body>"
+    rows = [(i, "http://h.example.com/", odd if i == 7 else usual) for i in range(8)] + [(8, "http://other.example.com/", odd)]
+    got = {r.page_id: r.text for r in html_consensus.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    story, box = ("running text of the story " * 30).strip(), ("a box that is no story " * 6).strip()
+    assert all(got[i] == story for i in range(7)) and got[7] in (story, f"{story}\n{box}") and got[8] == f"{story}\n{box}"
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<p>Intro</p><svg/><p>Second</p>", "Intro\nSecond"),
+        ("<p>a<svg><svg>in</svg>out</svg><p>b", "a\nb"),
+        ("<p>a</p><svg><g><p>b</p></g></svg>", "a\nb"),
+        ("<p>a</p><object><p>b</p><template><p>c</p><noscript><p>d</p>", "a\nb\nc\nd"),
+        ("<p>a</p><object>x</object><noscript>y</noscript><template>z</template><p>b</p>", "a\nb"),
+        ("<p>a</p><div class=\"x>b<p>c", "a\nb\nc"),
+        ("<p title=\"1 > 0\" class='q'>a</p>", "a"),
+        ("<p>x <math><mi>y</mi></math> z</p>", "x y z"),
+        ("<p>a<script>x<y</p></script>b<style>unclosed", "ab"),
+        ("a < b <3 c<p>d <div class=", "a < b <3 c\nd"),
+        ("<p>a<!-->b<!-- c -->d<!-- e", "abd"),
+        ("", ""),
+    ],
+)
+def test_odd_markup(html, text):
+    assert html_consensus.text_below(html, None) == text
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    for html in ("<div class=abc>x" * 50_000, '<div class="x>' * 50_000, "<b>" * 30_000 + "<h1>x</h1>" * 30_000, "<svg>" * 50_000, "<p a='" * 50_000, "<!--" * 50_000):
+        began = time.process_time()
+        html_consensus.text_below(html, None)
+        assert time.process_time() - began < 6
+
+
+def plain_page(tree, depth=0):
+    """(html, blocks) of nested [tag, class, children], where children are texts or elements; what is dropped has no blocks."""
+    tag, cls, children = tree
+    inner = [plain_page(c) if isinstance(c, list) else (c, [c] if c.strip() else []) for c in children]
+    html = f"<{tag} class='{cls}'>" + "".join(h for h, _ in inner) + f"</{tag}>"
+    dropped = tag in ("nav", "aside", "svg", "noscript") or cls in ("sidebar", "ad")
+    return html, [] if dropped else [b for _, bs in inner for b in bs]
+
+
+TREES = st.recursive(
+    st.text("abc ", min_size=1, max_size=12).map(lambda t: ["p", "t", [t]]),
+    lambda inner: st.tuples(st.sampled_from(["div", "section", "nav", "aside", "ul", "blockquote"]), st.sampled_from(["x", "story", "sidebar", "ad"]), st.lists(inner, max_size=4)).map(list),
+    max_leaves=12,
+)
+
+
+@given(TREES)
+@settings(max_examples=200, deadline=None)
+def test_pages_read_as_plain_trees(tree):
+    html, blocks = plain_page(tree)
+    nodes, got = html_consensus.read_page(html)
+    assert [text for _, text in got] == [" ".join(b.split()) for b in blocks]
+    path = html_consensus.candidate_paths(nodes)[0]
+    assert html_consensus.text_below(html, nodes[0].path) == "\n".join(text for _, text in got) and isinstance(path, int)
 
 
 def test_contamination_matches_full_search(spark):
@@ -156,6 +225,21 @@ def test_contamination_matches_full_search(spark):
     assert decontaminate.contamination(docs, bench.limit(0)).count() == 0
 
 
+def test_other_items_never_change_a_hit(spark):
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    question, answer = " ".join(word() for _ in range(20)) + ".", " ".join(word() for _ in range(9)) + "."
+    near, far = " ".join(word() for _ in range(20)), " ".join(word() for _ in range(150))
+    docs = documents(spark, [f"{question} {near} {answer}", f"{question} {far} {answer}"])
+    long_item = " ".join(word() for _ in range(405))
+    found = []
+    for items in ([(1, f"{question} {answer}")], [(1, f"{question} {answer}"), (2, long_item)]):
+        got = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+        found.append({(r.doc_id, r.item_id) for r in got})
+    assert found[0] == found[1] == {(0, 1)}
+    assert [decontaminate.length_class(n) for n in (0, 1, 64, 65, 128, 405)] == [64, 64, 64, 128, 128, 512]
+
+
 def test_block_max_search_is_exact():
     rng = random.Random(8)
     words = [f"t{i}" for i in range(30)]
@@ -212,11 +296,70 @@ def test_mixing_meets_its_limit_and_loses_nothing(spark):
     count = lambda s: sum(r.source == s and r.text == "a b c d" for r in rows)
     assert count("big") == 60 and 36 <= count("small") <= 40
     assert mixing.mixed(df.limit(0)).count() == 0
-    shares = spark.createDataFrame([("a", 0.7), ("b", 0.2), ("c", 0.1)], "source string, share double")
-    e = mixing.find_exponent(shares, target_entropy=1.0)
-    w = np.array([0.7, 0.2, 0.1]) ** e
+    shares = spark.createDataFrame([("a", 70, 0.7), ("b", 20, 0.2), ("c", 10, 0.1)], "source string, tokens long, share double")
+    p = np.array([0.7, 0.2, 0.1])
+    w = p ** mixing.find_exponent(shares, target_entropy=1.0)
     w /= w.sum()
-    assert abs(-(w * np.log(w)).sum() - 1.0) < 1e-6
+    assert abs(-(w * np.log(w)).sum() - 1.0) < 1e-5
+    assert abs(mixing.find_exponent(shares, max_repeats=2.0) - (1 - np.log(2) / np.log(7))) < 1e-6
+    e = mixing.find_exponent(shares, max_repeats=2.0, budget_tokens=150)
+    assert 0 < e < 1 and abs((p ** (e - 1) / (p**e).sum()).max() * 1.5 - 2) < 1e-4
+    assert mixing.find_exponent(shares) == 0.0 and mixing.find_exponent(shares.limit(0), max_repeats=2.0) == 0.0
+
+
+@pytest.mark.parametrize("budget", [None, 90, 700, 5000])
+def test_mixing_takes_what_plain_blocks_take(spark, budget):
+    rng = random.Random(budget or 1)
+    rows = [(i % 150, " ".join("w" for _ in range(rng.randrange(12))), rng.choice(["a", "a", "a", "b", None])) for i in range(160)] + [(7, None, "a"), (None, "x y", "b")]
+    df = spark.createDataFrame([(*r, "o", "o", "o", "o", "o") for r in rows], "doc_id long, text string, source string, size string, room string, s string, _place string, Epoch string")
+    got = mixing.mixed(df, max_repeats=2.0, budget_tokens=budget, block_tokens=16, seed=3)
+    assert got.columns == [*df.columns, "mix_epoch", "block", "weight"]
+    h = mixing.F.xxhash64(mixing.F.lit(3), "doc_id", "text")
+    hashed = [(r.doc_id, r.text, r.source, r.h) for r in df.withColumn("h", h).collect()]
+    size = lambda t: len((t or "").split())
+    total = Counter()
+    for _, t, s, _ in hashed:
+        total[s] += size(t)
+    everything = sum(total.values())
+    share = {s: n / everything for s, n in total.items()}
+    low, high = 0.0, 1.0
+    def repeats(e):
+        z = sum(p**e for p in share.values())
+        take = max(p ** (1 - e) for p in share.values()) * z if budget is None else min(budget / everything, 2.0)
+        return max(p ** (e - 1) for p in share.values()) / z * take
+    if repeats(0.0) > 2:
+        for _ in range(32):
+            low, high = (low, (low + high) / 2) if repeats((low + high) / 2) <= 2 else ((low + high) / 2, high)
+        low = high
+    z = sum(p**low for p in share.values())
+    want = Counter()
+    for s, n in total.items():
+        weight = share[s] ** low / z
+        take = max(p ** (1 - low) for p in share.values()) * z * everything if budget is None else min(budget, 2 * everything)
+        goal = int(weight * take + 1e-6)
+        goal = max(goal, n) if budget is None else goal
+        whole, part = divmod(goal, n)
+        mine = [r for r in hashed if r[2] == s and size(r[1])]
+        blocks = -(-n // 16)
+        values = spark.createDataFrame([(r[3], r[3] % blocks) for r in mine], "h long, b long").select("h", "b", mixing.block_value(mixing.F.col("b"), mixing.F.lit(whole).cast("long"), 3).alias("v"), mixing.place_value(mixing.F.col("h"), mixing.F.lit(whole).cast("long"), 3).alias("p")).collect()
+        order = {r.h: (r.v, r.b, r.p) for r in values}
+        want.update({(r[0], r[1], s, e): c for r, c in Counter((r[0], r[1]) for r in mine).items() for r in [r] for e in range(whole)})
+        left = part
+        for block in sorted({order[r[3]][:2] for r in mine}):
+            inside = [r for r in mine if order[r[3]][:2] == block]
+            if sum(size(r[1]) for r in inside) <= left:
+                want.update((r[0], r[1], s, whole) for r in inside)
+                left -= sum(size(r[1]) for r in inside)
+                continue
+            for place in sorted({order[r[3]][2] for r in inside}):
+                same = [r for r in inside if order[r[3]][2] == place]
+                if sum(size(r[1]) for r in same) > left:
+                    break
+                want.update((r[0], r[1], s, whole) for r in same)
+                left -= sum(size(r[1]) for r in same)
+            break
+    want.update((r[0], r[1], r[2], 0) for r in hashed if not size(r[1]))
+    assert Counter((r.doc_id, r.text, r.source, r.mix_epoch) for r in got.collect()) == want
 
 
 def test_quality_and_toxicity_learn_and_score_everything(spark):
@@ -242,10 +385,36 @@ def test_quality_and_toxicity_learn_and_score_everything(spark):
     toxic = toxicity.fit_toxicity(docs, known, ~held)
     scores = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, toxic).collect()}
     assert len(scores) == 242 and np.mean([(scores[i] >= 0.3) == labels[i][2] for i in test]) > 0.9
+    tail = ["clean words here " * 1500 + "GRONK!! " * 40] * 3
+    blocks = quality.fit_quality(documents(spark, tail + ["plain text of the good kind " * 800] * 3), spark.createDataFrame([(i, int(i > 2), 0) for i in range(6)], "doc_id long, quality int, toxic int"))
+    assert blocks.good and blocks.bad
+    for fit, score, name in ((quality.fit_quality, quality.quality_scores, "quality"), (toxicity.fit_toxicity, toxicity.toxicity_scores, "toxic")):
+        assert score(docs.limit(0), fit(docs.limit(0), known)).count() == 0, name
     none = quality.fit_quality(docs, known.limit(0))
     assert {r.score for r in quality.quality_scores(docs, none).collect()} == {0.5}
 
 
+def test_every_word_of_a_text_is_learnt_from():
+    texts = [" ".join(f"w{i}" for i in range(9000)), "short text", ""]
+    trainer = toxicity.Trainer(texts, [1, 0, 0])
+    assert len(trainer.words) == 9002 and set(trainer.at[trainer.owner == 0].ravel().tolist()) >= set(range(9000))
+    assert np.bincount(trainer.owner).tolist() == [len(toxicity.windows(n)) for n in (9000, 2, 0)]
+
+
+def test_worst_window_is_that_of_a_plain_loop():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["ab", "cd", "efg", "hij"]) for _ in range(n)) for n in (0, 1, 23, 24, 25, 42, 43, 100)]
+    net = toxicity.Network.fresh(toxicity.Vocabulary([b"ab", b"efg"], np.arange(1, toxicity.GRAM_SPACE, 7)))
+    got = toxicity.Scorer(net).worst(texts)
+    for text, score in zip(texts, got):
+        words = toxicity.words_of(text)
+        logits = []
+        for start in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+            part = words[start : start + toxicity.WINDOW] or [b"ab"]
+            logits.append(net.logits(net.gates(net.vectors(part))[:, None, :], np.full((len(part), 1), float(bool(words)), np.float32))[0])
+        assert abs(max(logits) - score) < 1e-4
+
+
 def test_toxic_words_inside_long_runs_show():
     rng = random.Random(6)
     word = lambda: "".join(rng.choices(["an", "ti", "re", "on", "es", "the"], k=rng.randint(1, 3)))
@@ -357,3 +526,35 @@ def test_digest_is_of_code_points():
     text, spans = chat.format_turns(turns)
     said = "".join(chat.unescape(text[s:e]) for s, e in spans)
     assert hashlib.sha256(said.encode()).hexdigest() == hashlib.sha256("</s>ü".encode()).hexdigest()
+
+
+def test_registered_token_counts_are_those_of_plain_longest_match(spark, tmp_path):
+    import json
+
+    pieces = set(json.load(open(WORD_BPE))["model"]["vocab"])
+    texts = [*ODD_TEXTS[:5], "Hello wonderful worlds", "naïve ünïcode", "a1b2 don't x|y", "supercalifragilistic " * 3]
+    documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    for r in queries.op2_token_counts(spark, str(tmp_path)).collect():
+        want = 0
+        for word in wordpiece._WORD.findall((texts[r.doc_id] or "").lower()):
+            word, at, n = word + "</w>", 0, 0
+            while at < len(word):
+                ends = [e for e in range(len(word), at, -1) if word[at:e] in pieces]
+                if not ends:
+                    n = 0
+                    break
+                at, n = ends[0], n + 1
+            want += n or 1
+        assert r.n_tokens == want, texts[r.doc_id]
+
+
+def test_registered_classifiers_keep_their_folds(spark, tmp_path):
+    texts = [("good calm words of prose " if i % 3 else "BAD!! $$ CLICK zzurt ") * (2 + i % 5) for i in range(90)]
+    documents(spark, [*texts, None], [*range(90), None]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 3 != 0), int(i % 3 == 0)) for i in range(90)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for query, folds, fold, least in ((queries.op7_toxicity, 4, 2, 0.3), (queries.op8_quality, 3, 1, 0.5)):
+        got = query(spark, str(tmp_path))
+        assert [(f.name, f.dataType.simpleString()) for f in got.schema] == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
+        rows = got.collect()
+        assert len(rows) == 91 and all(0 <= r.score <= 1 and r.predicted == (r.score >= least) for r in rows)
+        assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % folds == fold) for r in rows)

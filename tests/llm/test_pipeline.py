@@ -36,3 +36,24 @@ def test_stages_keep_columns_and_drop_what_they_must(spark, tmp_path):
     assert {r.doc_id for r in out} == mixed
     ends = sorted((r.start, r.n_tokens) for r in out)
     assert all(s + n == t for (s, n), (t, _) in zip(ends, ends[1:])) and ends[0][0] == 0
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    texts = [(1, a), (5, a), (5, b), (9, b), (3, b), (3, b), (None, a), (None, None), (7, ""), (8, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept_id long, epoch long, score double, record string"
+    put = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    put([(i, t, "en", None if i == 9 else "s", 0, 4, 4, 0.5, "r") for i, t in texts], schema, "documents")
+    put([], "doc_id long, quality int, toxic int", "labels")
+    put([], "item_id long, text string", "benchmark")
+    docs, counts = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+        counts.append(sorted((r.doc_id is None, r.doc_id) for r in docs.collect()))
+    assert len(counts[0]) == 10
+    assert [i for _, i in counts[1]] == [1, 7, 8, None, None] and counts[2] == counts[1] and set(counts[3]) == set(counts[1])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(counts[3])
+    empty = tmp_path / "empty"
+    put([], schema, "empty/documents"), put([], "doc_id long, quality int, toxic int", "empty/labels"), put([], "item_id long, text string", "empty/benchmark")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
