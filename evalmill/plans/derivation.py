@@ -93,11 +93,6 @@ def cost_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return D.cost(usage, prices, runs=3).withColumn("dollars", F.round("dollars", 9))
 
 
-@register("SELECT p_partkey, (85 + 170 * ceil(w / 512) * ceil(h / 512))::BIGINT AS tokens FROM (SELECT p_partkey, CAST(p_size * 10 + 200 AS DOUBLE) AS w, CAST(p_size * 9 + 100 AS DOUBLE) AS h FROM part)")
-def token_formulas(spark: SparkSession, sf: str) -> DataFrame:
-    return B.read(spark, sf, "part").select("p_partkey", D.tile_tokens((F.col("p_size") * 10 + 200).cast("double"), (F.col("p_size") * 9 + 100).cast("double")).alias("tokens"))
-
-
 @register("SELECT conv_id, count(*) AS runs, CASE WHEN NOT bool_or(length(text) IS NULL OR length(text) < 60) THEN sum(length(text))::BIGINT END AS tokens FROM conversations GROUP BY 1")
 def usage_fail_closed(spark: SparkSession, sf: str) -> DataFrame:
     size = F.length("text")
