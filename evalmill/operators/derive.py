@@ -55,7 +55,7 @@ def coverage(registry: DataFrame, evidence: DataFrame) -> DataFrame:
 def cost(usage: DataFrame, prices: DataFrame, runs: int = 1, fee: float = 0.0) -> DataFrame:
     """Tokens and dollars of each (split, model); prices are a short list."""
     sums = usage.groupBy("split").agg(F.count("*").alias("items"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
-    grid = sums.crossJoin(F.broadcast(prices))
+    grid = sums.crossJoin(prices)  # a row for each split and model
     dollars = F.col("discount") * runs * (F.col("tokens_in") / F.lit(1e6) * F.col("price_in") + F.col("tokens_out") / F.lit(1e6) * F.col("price_out")) * (1 + fee)
     return grid.select("split", "model", "items", (F.col("tokens_in") * runs).alias("tokens_in"), (F.col("tokens_out") * runs).alias("tokens_out"), dollars.alias("dollars"))
 

@@ -6,10 +6,13 @@ to clusters once and only clusters are resampled.
 
 from __future__ import annotations
 
+import math
 import random
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,33 +21,70 @@ def cluster_sums(df: DataFrame, by: list[str], cluster: str, value: str, order:
     return df.groupBy(*by, cluster).agg(F.count("*").alias("n"), F.sum(F.col(value).cast("double")).alias("total"), F.min(order).alias("first"))
 
 
-def bootstrap_interval(sums: DataFrame, by: list[str], resamples: int = 2000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """(mean, lo, hi) with Poisson(1) multiplicities from hashes of (cluster, resample).
+#: Cumulative Poisson(1) masses: how often a cluster is drawn, 0 to 12 times.
+_STEPS = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(13)])[:-1]
 
-    Resamples are dealt over the cluster rows and summed map-side, so a slice's
-    state is ``resamples`` rows however many clusters it has.
+
+def _weights(keys: np.ndarray, resamples: np.ndarray, seed: int) -> np.ndarray:
+    """(clusters, resamples) multiplicities from hashes alone, whatever task a cluster falls to."""
+    with np.errstate(over="ignore"):
+        x = keys[:, None] ^ ((resamples.astype(np.uint64) + np.uint64(seed) * np.uint64(0x632BE59BD9B4E019))[None, :] * np.uint64(0x9E3779B97F4A7C15))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    return np.searchsorted(_STEPS, (x >> np.uint64(11)).astype(np.float64) / 2.0**53, side="right")
+
+
+def bootstrap_ratio(sums: DataFrame, by: list[str], cluster: str, numerator: Column, denominator: Column, resamples: int = 10_000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """(by, value, clusters, lo, hi) of a ratio of sums over clusters: a mean, an F1, a micro F1.
+
+    Each resample draws every cluster Poisson(1) times, by a hash of (cluster,
+    resample).  A task adds up its clusters for all resamples at once and gives
+    ``resamples`` rows for each group, which are summed; the interval's ends are
+    order statistics.  Resamples that draw nothing are left out.
     """
-    cluster = next(c for c in sums.columns if c not in (*by, "n", "total", "first"))
-    draws = sums.select(*by, cluster, "n", "total", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
-    u = (F.pmod(F.xxhash64(F.col(cluster), "b", F.lit(seed)), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
-    steps, mass, k = [], 0.0, 1.0
-    for i in range(12):
-        k = k / i if i else 1.0
-        mass += k * 0.36787944117144233
-        steps.append(mass)
-    weight = sum(((u > s).cast("int") for s in steps), F.lit(0))
-    stat = draws.withColumn("w", weight).groupBy(*by, "b").agg((F.sum(F.col("w") * F.col("total")) / F.sum(F.when(F.col("w") > 0, F.col("w") * F.col("n")))).alias("stat"))
-    lo, hi = (F.percentile("stat", q) for q in (alpha / 2, 1 - alpha / 2))
-    base = sums.groupBy(*by).agg((F.sum("total") / F.sum("n")).alias("mean"), F.count("*").alias("clusters"))
-    return base.join(stat.groupBy(*by).agg(lo.alias("lo"), hi.alias("hi")), by)
+    named = [f for f in sums.schema if f.name in by]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named)
+    rows = sums.select(*by, F.xxhash64(cluster).alias("_key"), numerator.cast("double").alias("_num"), denominator.cast("double").alias("_den"))
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+        b = np.arange(resamples)
+        for frame in frames:
+            for group, part in frame.groupby(by, dropna=False, sort=False) if by else [((), frame)]:
+                total = held.setdefault(group if isinstance(group, tuple) else (group,), np.zeros((2, resamples)))
+                keys, num, den = part["_key"].to_numpy(np.int64).view(np.uint64), part["_num"].to_numpy(float), part["_den"].to_numpy(float)
+                for i in range(0, len(keys), 256):
+                    w = _weights(keys[i : i + 256], b, seed)
+                    total += np.stack([num[i : i + 256] @ w, den[i : i + 256] @ w])
+        for group, total in held.items():
+            out = pd.DataFrame({"b": b, "num": total[0], "den": total[1]})
+            yield out.assign(**{c: [v] * resamples for c, v in zip(by, group)})[[*by, "b", "num", "den"]]
+
+    drawn = rows.mapInPandas(add, ", ".join(x for x in (fields, "b long, num double, den double") if x))
+    stat = drawn.groupBy(*by, "b").agg(F.try_divide(F.sum("num"), F.sum("den")).alias("s")).where("s is not null")
+    ends = stat.groupBy(*by).agg(F.array_sort(F.collect_list("s")).alias("s"))
+    n = F.size("s")
+    at = lambda q: F.element_at("s", F.least((n * q).cast("int"), n - 1) + 1)
+    ends = ends.select(*by, at(alpha / 2).alias("lo"), at(1 - alpha / 2).alias("hi"))
+    base = rows.groupBy(*by).agg(F.try_divide(F.sum("_num"), F.sum("_den")).alias("value"), F.count("*").alias("clusters"))
+    return base.join(ends, by, "left") if by else base.join(F.broadcast(ends))
+
+
+#: Clusters of a slice that one task may draw from with the sequential generator.
+MOST_EXACT = 20_000
 
 
 def bootstrap_interval_exact_draws(sums: DataFrame, by: list[str], resamples: int = 10_000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """(mean, lo, hi) with CPython's generator drawing clusters in first-seen order.
 
-    One task for each slice; meant for slices of a few thousand clusters, as
-    evaluation sets have, where results must repeat published draws.
+    The generator gives one sequence for a slice, so one task draws it; a slice of
+    more than ``MOST_EXACT`` clusters is an error, and ``bootstrap_ratio`` has no
+    such bound.  The interval's ends are order statistics.
     """
+    most = sums.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if most > MOST_EXACT:
+        raise ValueError(f"{most} clusters in a slice, more than {MOST_EXACT}")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sums.schema if f.name in by) + ", mean double, clusters long, lo double, hi double"
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -64,8 +104,6 @@ def bootstrap_interval_exact_draws(sums: DataFrame, by: list[str], resamples: in
 
 def mcnemar_p(counts: DataFrame) -> DataFrame:
     """p-values: exact below 25 discordant pairs, else chi-squared with one degree of freedom."""
-    import math
-
     from ..functions.exprs import binomial_tail
 
     @F.pandas_udf("double")
@@ -75,5 +113,3 @@ def mcnemar_p(counts: DataFrame) -> DataFrame:
     n = F.col("b") + F.col("c")
     exact = F.least(F.lit(1.0), 2 * binomial_tail(n, F.least("b", "c")))
     return counts.withColumn("p", F.when(n == 0, 1.0).when(n < 25, exact).otherwise(tail("statistic")))
-
-

@@ -25,7 +25,7 @@ def last_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 def scored_fact(items: DataFrame, results: DataFrame, judges: DataFrame) -> DataFrame:
     """Every item with every judge's last answer; ``answered`` is false where there is none."""
     last = last_wins(results, ["judge", "item_id"], "ord").withColumn("answered", F.lit(True))
-    grid = items.join(F.broadcast(judges))  # the judges are a short list
+    grid = items.crossJoin(judges)  # what is asked for: every item for every judge
     fact = grid.join(last, ["judge", "item_id"], "left")
     answer = F.coalesce("answer", F.lit("unknown"))
     a = normal_answer(answer)
@@ -91,11 +91,12 @@ def localization(fact: DataFrame, by: list[str], iou_col: Column, threshold: flo
 
 
 def calibration(fact: DataFrame, by: list[str], correct: Column, bins: int = 10) -> DataFrame:
-    """Count, mean confidence and accuracy of each bin, empty ones included."""
-    rows = fact.where("confidence is not null").select(*by, confidence_bin(F.col("confidence"), bins).alias("bin"), "confidence", correct.cast("int").alias("c"))
-    got = rows.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"), F.avg("c").alias("accuracy"))
-    grid = got.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return grid.join(got, [*by, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    """Count, mean confidence and accuracy of each bin, empty ones included; one aggregate of conditional sums."""
+    at, conf = confidence_bin(F.col("confidence"), bins), F.col("confidence")
+    rows = fact.where("confidence is not null").select(*by, at.alias("bin"), conf.alias("c"), correct.cast("int").alias("ok"))
+    here = lambda k, x: F.when(F.col("bin") == k, x)
+    each = [F.struct(F.lit(k).alias("bin"), F.count(here(k, F.lit(1))).alias("n"), F.avg(here(k, F.col("c"))).alias("mean_confidence"), F.avg(here(k, F.col("ok"))).alias("accuracy")) for k in range(bins)]
+    return rows.groupBy(*by).agg(F.array(*each).alias("b")).select(*by, F.explode("b").alias("b")).select(*by, "b.*")
 
 
 def expected_calibration_error(bins: DataFrame, by: list[str]) -> DataFrame:

@@ -44,7 +44,9 @@ COUNTS = """count(*) FILTER (truth = 'no' AND predicted = 'no') AS tp, count(*)
 
 JUDGMENTS = """judgments AS (
   SELECT user_id % 8 AS rater, event_id % 200 AS pair_id, CASE event_id % 3 WHEN 0 THEN 'clarity' WHEN 1 THEN 'balance' ELSE 'polish' END AS dimension,
-         CASE WHEN (event_id * 31 + user_id * 17) % 10 < 1 THEN 'cannot_tell' WHEN (event_id * 31 + user_id * 17) % 10 < 6 THEN 'A' ELSE 'B' END AS choice,
+         CASE WHEN (event_id * 31 + user_id * 17) % 10 < 1 THEN 'cannot_tell'
+           WHEN (event_id * 31 + user_id * 17) % 10 < 1 + (event_id % 3) * 2 AND (event_id % 5 <> 0 OR user_id % 8 > 5) THEN CASE WHEN event_id % 200 * 7 % 4 < 2 THEN 'B' ELSE 'A' END
+           WHEN event_id % 5 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 'B' ELSE 'A' END ELSE CASE WHEN event_id % 200 * 7 % 4 < 2 THEN 'A' ELSE 'B' END END AS choice,
          CASE WHEN (event_id * 31 + user_id * 17) % 10 < 1 THEN 'cannot_tell' WHEN (event_id + user_id) % 2 = 0 THEN 'left' ELSE 'right' END AS side, event_id AS ord
   FROM events),
 pairs AS (SELECT CAST(unnest(range(200)) AS BIGINT) AS pair_id),
@@ -93,7 +95,10 @@ def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").select("event_id", "user_id")
     draw = (F.col("event_id") * 31 + F.col("user_id") * 17) % 10
     dim = F.when(F.col("event_id") % 3 == 0, "clarity").when(F.col("event_id") % 3 == 1, "balance").otherwise("polish")
-    choice = F.when(draw < 1, "cannot_tell").when(draw < 6, "A").otherwise("B")
+    id_, liked = F.col("event_id"), F.col("event_id") % 200 * 7 % 4 < 2
+    slip = (draw < 1 + (id_ % 3) * 2) & ((id_ % 5 != 0) | (F.col("user_id") % 8 > 5))
+    better = F.when(id_ % 5 == 0, F.when(id_ % 2 == 0, "B").otherwise("A")).otherwise(F.when(liked, "A").otherwise("B"))
+    choice = F.when(draw < 1, "cannot_tell").when(slip, F.when(liked, "B").otherwise("A")).otherwise(better)
     side = F.when(draw < 1, "cannot_tell").when((F.col("event_id") + F.col("user_id")) % 2 == 0, "left").otherwise("right")
     return e.select((F.col("user_id") % 8).alias("rater"), (F.col("event_id") % 200).alias("pair_id"), dim.alias("dimension"), choice.alias("choice"), side.alias("side"), F.col("event_id").alias("ord"))
 

@@ -101,7 +101,7 @@ def usage_fail_closed(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     f"""WITH {B.FACT}, c AS (SELECT CAST(judge AS VARCHAR) AS variant, CAST(count(*) FILTER (NOT abstained AND answered) AS DOUBLE) / count(*) FILTER (answered) AS parse, round(CAST(count(*) FILTER (truth = predicted) AS DOUBLE) / count(*) FILTER (answered), 4) AS score FROM fact GROUP BY 1),
-    ok AS (SELECT * FROM c WHERE parse >= 0.5) SELECT min(variant) AS variant FROM ok WHERE score >= (SELECT max(score) FROM ok) - 0.05"""
+    ok AS (SELECT * FROM c WHERE parse >= 0.85) SELECT min(variant) AS variant FROM ok WHERE score >= (SELECT max(score) FROM ok) - 0.01"""
 )
 def ablation_decision(spark: SparkSession, sf: str) -> DataFrame:
     f = B.fact(spark, sf)
@@ -109,7 +109,7 @@ def ablation_decision(spark: SparkSession, sf: str) -> DataFrame:
         exprs.ratio(F.count_if(~F.col("abstained") & F.col("answered")), F.count_if("answered")).alias("parse_rate"),
         F.round(exprs.ratio(F.count_if(F.col("truth") == F.col("predicted")), F.count_if("answered")), 4).alias("score"),
     )
-    return D.simplest_of_best(cells, F.col("variant"), least_parse=0.5, band=0.05)
+    return D.simplest_of_best(cells, F.col("variant"), least_parse=0.85)
 
 
 @register("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")

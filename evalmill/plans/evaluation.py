@@ -120,11 +120,11 @@ def l4_exact(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register(
-    f"""WITH {B.FACT}, n AS (SELECT *, replace('class' || CAST(item_id % 4 AS VARCHAR) || CASE WHEN truth = 'yes' THEN ':clean-control' ELSE '' END, ':clean-control', '') AS defect_class FROM fact WHERE judge = 0)
+    f"""WITH {B.FACT}, n AS (SELECT *, replace('class' || CAST(item_id % 4 AS VARCHAR) || CASE WHEN truth = 'yes' THEN ':clean-control' ELSE '' END, ':clean-control', '') AS defect_class FROM fact)
     SELECT defect_class, {B.COUNTS} FROM n GROUP BY 1"""
 )
 def per_defect_class(spark: SparkSession, sf: str) -> DataFrame:
-    f = B.fact(spark, sf).where("judge = 0")
+    f = B.fact(spark, sf)
     name = F.concat(F.lit("class"), (F.col("item_id") % 4).cast("string"), F.when(F.col("truth") == "yes", ":clean-control").otherwise(""))
     return scoring.per_defect(f, name).select("defect_class", "tp", "fp", "fn", "tn", "missing", "ambiguous", "abstained")
 
@@ -200,7 +200,15 @@ def cluster_sufficient_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(None)
 def bootstrap_ci_distributed(spark: SparkSession, sf: str) -> DataFrame:
-    return resample.bootstrap_interval(cluster_sufficient_stats(spark, sf), ["judge"])
+    """The mean's interval from 10,000 resamples of pages."""
+    return resample.bootstrap_ratio(cluster_sufficient_stats(spark, sf), ["judge"], "page_id", F.col("total"), F.col("n"))
+
+
+@register(None)
+def bootstrap_ci_f1(spark: SparkSession, sf: str) -> DataFrame:
+    """The F1's interval: its sums over pages are resampled, not its values."""
+    f = scoring.confusion_counts(B.fact(spark, sf).where("answered"), ["judge", "page_id"])
+    return resample.bootstrap_ratio(f, ["judge"], "page_id", 2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
 
 
 @register(None)

@@ -60,17 +60,75 @@ def alpha_nominal(spark: SparkSession, sf: str) -> DataFrame:
     return a.select("dimension", F.round("n", 6).alias("n"), F.round("alpha", 9).alias("alpha"))
 
 
+_TRUSTED = f"""{B.JUDGMENTS}, flagged AS (SELECT rater FROM prepared WHERE is_catch GROUP BY 1 HAVING CAST(count(*) FILTER (choice IN ('A', 'B') AND choice <> known_worse) AS DOUBLE) / count(*) < 0.8),
+ everyone AS (SELECT * FROM prepared), trusted AS (SELECT * FROM everyone WHERE rater NOT IN (SELECT rater FROM flagged))"""
+_KEPT = _TRUSTED + _ALPHA.removeprefix(B.JUDGMENTS).replace("FROM prepared", "FROM trusted")
+
+
+def _trusted(spark: SparkSession, sf: str) -> DataFrame:
+    j = B.prepared(spark, sf)
+    return P.trusted(j, P.catch_pass_rates(j))
+
+
+def _alpha(kept: DataFrame) -> DataFrame:
+    ratings = kept.where("pair_type = 'preference' AND choice <> 'cannot_tell'").select("dimension", "pair_id", "choice")
+    return P.krippendorff_alpha(ratings, ["dimension"], "pair_id", "choice")
+
+
 @register(
-    f"""WITH {_ALPHA}, c AS (SELECT rater, CAST(count(*) FILTER (choice IN ('A', 'B') AND choice <> known_worse) AS DOUBLE) / count(*) AS rate FROM prepared WHERE is_catch GROUP BY 1),
-    v AS (SELECT pair_id, dimension, count(*) AS n, count(*) FILTER (choice = 'A') AS a, count(*) FILTER (choice = 'B') AS b FROM prepared
-      WHERE choice IN ('A', 'B') AND rater NOT IN (SELECT rater FROM c WHERE rate < 0.3) GROUP BY 1, 2)
-    SELECT v.pair_id, v.dimension, v.n, CASE WHEN a > b THEN 'A' WHEN b > a THEN 'B' END AS majority, CAST(greatest(a, b) AS DOUBLE) / v.n AS agreement,
-      v.n >= 3 AND coalesce(alpha.alpha, 0) >= -1 AND a <> b AS promoted FROM v LEFT JOIN alpha ON alpha.dimension = v.dimension"""
+    f"""WITH {_KEPT}, v AS (SELECT pair_id, dimension, count(*) AS n, count(*) FILTER (choice = 'A') AS a, count(*) FILTER (choice = 'B') AS b FROM trusted WHERE pair_type = 'preference' AND choice IN ('A', 'B') GROUP BY 1, 2)
+    SELECT v.pair_id, v.dimension, 'human' AS door, CASE WHEN a > b THEN 'A' ELSE 'B' END AS winner, n, CAST(greatest(a, b) AS DOUBLE) / n AS agreement FROM v JOIN (SELECT dimension, alpha FROM alpha WHERE alpha >= 0.667) k ON k.dimension = v.dimension WHERE n >= 3 AND a <> b
+    UNION ALL SELECT pair_id, 'clarity', 'mutation', CASE WHEN known_worse = 'B' THEN 'A' ELSE 'B' END, NULL, NULL FROM typed WHERE pair_type = 'validity'""".replace("k.dimension = v.dimension WHERE n", "k.dimension = v.dimension WHERE v.n").replace("'B' END AS winner, n, CAST(greatest(a, b) AS DOUBLE) / n AS", "'B' END AS winner, v.n, CAST(greatest(a, b) AS DOUBLE) / v.n AS")
 )
 def promote_gates(spark: SparkSession, sf: str) -> DataFrame:
+    """The pairs that become items, by the default gates: catch rate 0.8, alpha 0.667, three judgments, a majority."""
+    kept = _trusted(spark, sf)
+    pairs = B.pairs(spark).withColumn("dimension", F.lit("clarity"))
+    return P.promoted(kept, pairs, _alpha(kept)).drop("bt_margin")
+
+
+def _member(side: str) -> F.Column:
+    return (F.col("pair_id") * (3 if side == "a" else 7) + (0 if side == "a" else 1)) % 12
+
+
+def _edges(kept: DataFrame) -> DataFrame:
+    """Members of each decided pair as winner and loser, by dimension."""
+    rows = kept.where("pair_type = 'preference' and choice in ('A', 'B')")
+    a = F.col("choice") == "A"
+    return P.win_counts(rows.select("dimension", F.when(a, _member("a")).otherwise(_member("b")).alias("winner"), F.when(a, _member("b")).otherwise(_member("a")).alias("loser")), ["dimension"])
+
+
+@register(
+    f"""WITH {_TRUSTED}, e AS (SELECT dimension, (pair_id * 3) % 12 AS ma, (pair_id * 7 + 1) % 12 AS mb, choice FROM trusted WHERE pair_type = 'preference' AND choice IN ('A', 'B'))
+    SELECT dimension, CASE WHEN choice = 'A' THEN ma ELSE mb END AS winner, CASE WHEN choice = 'A' THEN mb ELSE ma END AS loser, count(*) AS wins FROM e WHERE ma <> mb GROUP BY ALL"""
+)
+def bt_edges_by_dimension(spark: SparkSession, sf: str) -> DataFrame:
+    return _edges(_trusted(spark, sf))
+
+
+@register(None)
+def bt_by_dimension(spark: SparkSession, sf: str) -> DataFrame:
+    return P.bradley_terry(_edges(_trusted(spark, sf)), ["dimension"])
+
+
+@register(None)
+def promoted_with_margins(spark: SparkSession, sf: str) -> DataFrame:
+    """The promoted pairs with the distance of their members' strengths."""
+    kept = _trusted(spark, sf)
+    pairs = B.pairs(spark).withColumns({"dimension": F.lit("clarity"), "member_a": _member("a"), "member_b": _member("b")})
+    return P.promoted(kept, pairs, _alpha(kept), P.bradley_terry(_edges(kept), ["dimension"]))
+
+
+@register(
+    f"""WITH {_ALPHA}, d AS (SELECT dimension, count(*) AS judgments, count(DISTINCT rater) AS raters, CAST(count(*) FILTER (choice = 'cannot_tell') AS DOUBLE) / count(*) AS cannot_tell FROM prepared GROUP BY 1),
+    r AS (SELECT unnest(['clarity', 'balance', 'polish', 'rhythm']) AS dimension) SELECT r.dimension, d.judgments, d.raters, d.cannot_tell, round(CAST(a.alpha AS DOUBLE), 9) AS alpha FROM r LEFT JOIN d ON d.dimension = r.dimension LEFT JOIN alpha a ON a.dimension = r.dimension"""
+)
+def analyze_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Every dimension of the rubric with its counts and agreement, null where nobody judged it."""
     j = B.prepared(spark, sf)
-    alpha = P.krippendorff_alpha(_ratings(spark, sf), ["dimension"], "pair_id", "choice")
-    return P.promoted(j, alpha, P.catch_pass_rates(j, least=0.3), n_min=3, alpha_min=-1.0)
+    rubric = spark.createDataFrame([(d,) for d in ("clarity", "balance", "polish", "rhythm")], "dimension string")
+    told = j.groupBy("dimension").agg(F.count("*").alias("judgments"), F.count_distinct("rater").alias("raters"), (F.count_if(F.col("choice") == "cannot_tell").cast("double") / F.count("*")).alias("cannot_tell"))
+    return rubric.join(told, "dimension", "left").join(_alpha(j).select("dimension", F.round("alpha", 9).alias("alpha")), "dimension", "left")
 
 
 _BT = """WITH s AS (SELECT l_orderkey, l_suppkey % 20 AS item, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2)
@@ -87,4 +145,4 @@ def bt_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(None)
 def bradley_terry(spark: SparkSession, sf: str) -> DataFrame:
-    return P.bradley_terry(bt_edges(spark, sf), max_iter=30)
+    return P.bradley_terry(bt_edges(spark, sf))

@@ -45,12 +45,71 @@ def test_item_rules_name_what_is_wrong(spark, tmp_path):
         "item_id": "i", "page_id": "p", "task_level": "L1", "track": "a11y", "criterion_code": "wcag:1.1.1", "question": "q", "annotation_unit": "page", "ground_truth": "yes",
         "door": "rules", "receipt": '{"a":1}', "evidence": "e", "split": "dev", "canary": "c", "provenance": {"source": "s", "license": "l", "retrieval_date": "d"},
     }
-    bad = good | {"track": "layout", "ground_truth": "maybe", "receipt": "{}"}
+    bad = good | {"track": "layout", "ground_truth": "maybe", "receipt": "{}", "provenance": {"source": "s", "license": " "}}
     path = tmp_path / "items.jsonl"
     path.write_text("\n".join(["", json.dumps(good), json.dumps(bad), ""]))
     valid, rejected = tables.valid_and_rejected(tables.read_items(spark, str(path)), tables.item_rules())
     assert valid.count() == 1
-    assert rejected.first().violations == ["namespace: does not fit", "ground_truth: not yes or no", "receipt: empty"]
+    assert rejected.first().violations == ["namespace: does not fit", "ground_truth: not yes or no", "receipt: empty", "provenance.license: missing", "provenance.retrieval_date: missing"]
+
+
+@pytest.mark.parametrize(
+    "change, reason",
+    [
+        ({"task_level": "L2", "ground_truth": '["wcag:1.1.1"]'}, None),
+        ({"task_level": "L2", "ground_truth": '["x"]'}, "ground_truth: not a list of codes"),
+        ({"task_level": "L3", "annotation_unit": "element", "ground_truth": '{"selector": "#a", "bbox": [1, 2, 3, 4]}', "anchor": {"selector": "#a"}}, None),
+        ({"task_level": "L3", "annotation_unit": "element", "ground_truth": '{"selector": "#a", "bbox": [1, 2, 3]}', "anchor": {"selector": "#a"}}, "ground_truth: not a selector with four numbers"),
+        ({"task_level": "L4", "annotation_unit": "element"}, "anchor: missing"),
+        ({"task_level": "L4", "annotation_unit": "element", "anchor": {"type": "element"}}, "anchor: neither selector nor bbox"),
+        ({"task_level": "L4", "annotation_unit": "element", "anchor": {"bbox": [1, 2, 3, "Infinity"]}}, "anchor: bbox is not four numbers"),
+        ({"task_level": "L4", "annotation_unit": "region", "anchor": {"type": "named_region", "name": "top"}}, "anchor: region without type, name or bbox"),
+        ({"anchor": {"selector": "#a"}}, "anchor: not wanted"),
+    ],
+)
+def test_each_level_has_its_shape(spark, tmp_path, change, reason):
+    good = {
+        "item_id": "i", "page_id": "p", "task_level": "L1", "track": "a11y", "criterion_code": "wcag:1.1.1", "question": "q", "annotation_unit": "page", "ground_truth": "yes",
+        "door": "rules", "receipt": '{"a":1}', "evidence": "e", "split": "dev", "canary": "c", "provenance": {"source": "s", "license": "l", "retrieval_date": "d"},
+    }
+    path = tmp_path / "items.jsonl"
+    path.write_text(json.dumps(good | change))
+    row = tables.with_violations(tables.read_items(spark, str(path)), tables.item_rules()).first()
+    assert row.violations == ([reason] if reason else [])
+
+
+def test_files_of_an_evaluation(spark, tmp_path):
+    import hashlib
+
+    from evalmill.sources import scans
+
+    assert scans.read_lines(spark, str(tmp_path / "none.jsonl"), "a LONG", missing_ok=True).count() == 0
+    assert scans.read_judgments(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "j").mkdir()
+    for name, rows in (("b", ["2"]), ("a", ["0", "1"])):
+        (tmp_path / "j" / f"{name}.jsonl").write_text("\n".join(json.dumps({"rater": r, "pair_id": "p", "choice": "A", "ord": k}) for k, r in enumerate(rows)) + "\n\n")
+    (tmp_path / "j" / "notes.txt").write_text("x")
+    got = scans.read_judgments(spark, str(tmp_path / "j")).orderBy("file", "ord").collect()
+    assert [(r.file, r.rater) for r in got] == [("a.jsonl", "0"), ("a.jsonl", "1"), ("b.jsonl", "2")]
+    for bucket, page, html in (("synth", "p1", True), ("real", "p1", True), ("real", "p2", False)):
+        folder = tmp_path / "corpus" / bucket / page
+        folder.mkdir(parents=True)
+        (folder / "provenance.json").write_text(json.dumps({"page_id": page}))
+        if html:
+            (folder / "page.html").write_text("<p>x</p>")
+    pages = scans.read_pages(spark, str(tmp_path / "corpus"))
+    assert {(r.bucket, r.page_id) for r in pages.collect()} == {("synth", "p1"), ("real", "p1")}
+    assert [(r.bucket, r.page_id) for r in scans.first_bucket(pages, ["real", "synth"]).collect()] == [("real", "p1")]
+    with pytest.raises(Exception, match="more than one row"):
+        scans.exactly_one(pages, "page_id").collect()
+    (tmp_path / "t.tsv").write_text("id\ttext\n1\ta, b\n2\t" + "c" * 200_000 + "\n")
+    assert [len(r.text) for r in scans.read_tsv(spark, str(tmp_path / "t.tsv"), "id LONG, text STRING").orderBy("id").collect()] == [4, 200_000]
+    digest = scans.file_digests(spark, str(tmp_path / "t.tsv")).first()
+    assert digest.sha256 == hashlib.sha256((tmp_path / "t.tsv").read_bytes()).hexdigest()
+    pairs = spark.createDataFrame([("b", "validity", "A"), ("a", "preference", None)], "pair_id string, pair_type string, known_worse string")
+    scans.write_lines(pairs.coalesce(1), str(tmp_path / "pairs"), ["pair_id"])
+    lines = [line for p in sorted((tmp_path / "pairs").glob("part-*")) for line in p.read_text().splitlines()]
+    assert lines == ['{"pair_id":"a","pair_type":"preference"}', '{"known_worse":"A","pair_id":"b","pair_type":"validity"}']
 
 
 def test_replace_by_source(spark, tmp_path):

@@ -2,6 +2,9 @@
 
 import math
 
+import numpy as np
+import pytest
+
 from pyspark.sql import functions as F
 
 from evalmill.functions import exprs
@@ -84,8 +87,35 @@ def test_cluster_bootstrap_of_two_pages(spark):
 
 def test_distributed_bootstrap_covers(spark):
     df = spark.createDataFrame([("s", f"p{i}", int(i < 70), i) for i in range(100)], "k string, page string, v int, ord int")
-    r = resample.bootstrap_interval(resample.cluster_sums(df, ["k"], "page", "v", "ord"), ["k"]).first()
-    assert 0.58 < r.lo < 0.66 and 0.74 < r.hi < 0.82
+    sums = resample.cluster_sums(df, ["k"], "page", "v", "ord")
+    r = resample.bootstrap_ratio(sums, ["k"], "page", F.col("total"), F.col("n")).first()
+    assert 0.58 < r.lo < 0.66 and 0.74 < r.hi < 0.82 and r.value == 0.7 and r.clusters == 100
+    again = resample.bootstrap_ratio(sums.repartition(7), ["k"], "page", F.col("total"), F.col("n")).first()
+    assert (again.lo, again.hi) == (r.lo, r.hi)
+    whole = resample.bootstrap_ratio(sums, [], "page", F.col("total"), F.col("n")).first()
+    assert (whole.lo, whole.hi) == (r.lo, r.hi)
+
+
+def test_bootstrap_ends_are_order_statistics(spark):
+    keys = [r.k for r in spark.range(20).select(F.xxhash64(F.col("id").cast("string")).alias("k")).collect()]
+    df = spark.createDataFrame([(str(i), float(i % 3), 2.0) for i in range(20)], "page string, num double, den double")
+    w = resample._weights(np.array(keys, np.int64).view(np.uint64), np.arange(200), 5)
+    stats = sorted((np.array([i % 3 for i in range(20)]) @ w) / (2.0 * w.sum(axis=0)))
+    r = resample.bootstrap_ratio(df, [], "page", F.col("num"), F.col("den"), resamples=200, alpha=0.1, seed=5).first()
+    assert (r.lo, r.hi) == pytest.approx((stats[10], stats[190]))
+    assert 0.9 < w.mean() < 1.1
+
+
+def test_strengths_by_joins_are_those_at_once(spark):
+    rows = [("d1", "a", "b", 3), ("d1", "b", "a", 1), ("d1", "b", "c", 2), ("d1", "c", "a", 1), ("d2", "a", "b", 1), ("d2", "b", "a", 1)]
+    edges = spark.createDataFrame(rows, "dimension string, winner string, loser string, wins long")
+    once, joins = (preference.bradley_terry(edges, ["dimension"], tol=1e-3, at_once=n).orderBy("dimension", "item").collect() for n in (100, 0))
+    assert [(r.dimension, r.item, r.settled) for r in once] == [(r.dimension, r.item, r.settled) for r in joins]
+    assert [r.strength for r in once] == pytest.approx([r.strength for r in joins])
+    one_way = preference.bradley_terry(spark.createDataFrame([("x", "y", 2)], "winner string, loser string, wins long"), max_iter=3)
+    assert {r.settled for r in one_way.collect()} == {False}
+    with pytest.raises(ValueError, match="no comparisons"):
+        preference.bradley_terry(edges.limit(0))
 
 
 def test_alpha_of_a_worked_example(spark):
