@@ -31,12 +31,6 @@ def sibling_median_delta(spark: SparkSession, sf: str) -> DataFrame:
     return D.sibling_deltas(rows, ["l_orderkey"], "l_quantity")
 
 
-@register("SELECT doc_id, CASE WHEN n_chars > 5000 THEN 'too long' WHEN lang <> 'en' THEN 'language' WHEN source = 'src0' THEN 'source' END AS reason FROM documents")
-def eligibility_reason(spark: SparkSession, sf: str) -> DataFrame:
-    reason = D.first_reason([(F.col("n_chars") > 5000, "too long"), (F.col("lang") != "en", "language"), (F.col("source") == "src0", "source")])
-    return B.read(spark, sf, "documents").select("doc_id", reason.alias("reason"))
-
-
 @register(
     """WITH r AS (SELECT doc_id, unnest(list_filter([CASE WHEN NOT (n_chars < 3000) THEN 'length' END, CASE WHEN NOT (lang = 'en') THEN 'lang' END, CASE WHEN NOT (doc_id % 10 <> 3) THEN 'digit' END], lambda x: x IS NOT NULL)) AS reason FROM documents)
     SELECT reason, count(*) AS documents FROM r GROUP BY 1"""
