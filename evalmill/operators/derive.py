@@ -60,10 +60,11 @@ def cost(usage: DataFrame, prices: DataFrame, runs: int = 1, fee: float = 0.0) -
     return grid.select("split", "model", "items", (F.col("tokens_in") * runs).alias("tokens_in"), (F.col("tokens_out") * runs).alias("tokens_out"), dollars.alias("dollars"))
 
 
-def usage_or_null(runs: DataFrame, key: str) -> DataFrame:
-    """Token sums of each key, null as soon as one run has no valid usage."""
-    bad = F.bool_or(F.col("tokens").isNull() | (F.col("tokens") <= 0))
-    return runs.groupBy(key).agg(F.count("*").alias("runs"), F.when(~bad, F.sum("tokens")).alias("tokens"))
+def usage_or_null(runs: DataFrame, key: str, error: str | None = None) -> DataFrame:
+    """Token sums of each key, null as soon as one run has no valid usage; runs with an ``error`` are skipped, but counted."""
+    counted = F.lit(True) if error is None else F.col(error).isNull()
+    bad = F.bool_or(counted & (F.col("tokens").isNull() | (F.col("tokens") <= 0)))
+    return runs.groupBy(key).agg(F.count("*").alias("runs"), F.when(~bad, F.sum(F.when(counted, F.col("tokens")))).alias("tokens"))
 
 
 def tile_tokens(width: Column, height: Column, tile: int = 512, base: int = 85, each: int = 170) -> Column:

@@ -43,3 +43,70 @@ def interleaved(df: DataFrame, by: list[str], outcome: str, order: list[Column])
     turn = F.row_number().over(Window.partitionBy(*by, outcome).orderBy(*order))
     ranked = df.withColumn("turn", turn)
     return ranked.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("turn", outcome)))
+
+
+def filter_items(items: DataFrame, **wanted: object) -> DataFrame:
+    """Rows whose columns equal what is wanted, all at once; None leaves a column open."""
+    for column, value in wanted.items():
+        if value is not None:
+            items = items.where(F.col(column) == value)
+    return items
+
+
+def quota_sample(df: DataFrame, by: list[str], order: list[Column], quota: int) -> DataFrame:
+    """``quota`` rows of each stratum, in the given order; an error when the query runs if a stratum is short."""
+    size = F.count("*").over(Window.partitionBy(*by))
+    ranked = first_of_each(df.withColumn("_size", size), by, order, quota)
+    enough = F.when(F.col("_size") >= quota, True).otherwise(F.raise_error(F.concat(F.lit("too few rows in "), F.concat_ws("/", *(F.col(c).cast("string") for c in by)))).cast("boolean"))
+    return ranked.where(enough).drop("_size")
+
+
+def trials(pairs: DataFrame, rater: Column, seed: int = 0) -> DataFrame:
+    """(rater, pair_id, dimension, is_catch, turn) of every dimension in a pair's scope, in an order of the rater's own."""
+    rows = pairs.select(rater.alias("rater"), "pair_id", (F.col("pair_type") == "validity").alias("is_catch"), F.explode("scope").alias("dimension"))
+    order = F.md5(F.concat_ws(":", F.lit(seed), "rater", "pair_id", "dimension"))
+    turn = F.row_number().over(Window.partitionBy("rater", "is_catch").orderBy(order, "pair_id", "dimension"))
+    return rows.withColumn("turn", turn.cast("long"))
+
+
+def built_pairs(pages: DataFrame, parents: DataFrame, each: int, seed: int = 0) -> DataFrame:
+    """(pair_type, page_a, page_b, viewport, known_worse) of an annotation study.
+
+    Validity pairs are mutated pages with their parents, of which the mutated one
+    is worse.  Preference pairs are two pages of a group on a viewport that both
+    have, ``each`` of a bucket, in turn from its groups.  A hash flips the sides.
+    """
+    from .relations import pairs_by_viewport
+
+    made = parents.select(F.lit("validity").alias("pair_type"), F.col("parent").alias("a"), F.col("page_id").alias("b"), F.lit("desktop").alias("viewport"))
+    met = pairs_by_viewport(pages).join(pages.select(F.col("page_id").alias("a"), "bucket", "group"), "a")
+    key = lambda *c: F.md5(F.concat_ws(":", F.lit(seed), *c))
+    of_group = F.row_number().over(Window.partitionBy("bucket", "group").orderBy(key("a", "b", "viewport")))
+    of_bucket = F.row_number().over(Window.partitionBy("bucket").orderBy("_g", "group"))
+    met = met.withColumn("_g", of_group).where(F.col("_g") <= each).withColumn("_b", of_bucket).where(F.col("_b") <= each)
+    rows = made.unionByName(met.select(F.lit("preference").alias("pair_type"), "a", "b", "viewport"))
+    flip = F.substring(key("a", "b", "viewport"), 1, 1) < "8"
+    worse = F.when(F.col("pair_type") == "validity", F.when(flip, "A").otherwise("B"))
+    return rows.select("pair_type", F.when(flip, F.col("b")).otherwise(F.col("a")).alias("page_a"), F.when(flip, F.col("a")).otherwise(F.col("b")).alias("page_b"), "viewport", worse.alias("known_worse"))
+
+
+def assertions(probes: DataFrame, seed: int = 0) -> DataFrame:
+    """(item_id, number, text, truth) of one question for each usable probe of a page; a hash decides whether it is told as it is.
+
+    ``probes`` has page_id and specs: structs selector, property, value, other, box.
+    """
+    from .relations import numbered, usable_box
+
+    rows = numbered(probes, "specs", lambda v: usable_box(v["box"]))
+    v, id_ = F.col("value"), F.concat_ws("-", "page_id", F.lit("L4"), F.col("number").cast("string"))
+    straight = F.substring(F.md5(F.concat_ws(":", F.lit(seed), id_)), 1, 1) < "8"
+    said = F.when(straight, v["value"]).otherwise(v["other"])
+    text = F.concat(F.lit("The "), v["property"], F.lit(" of "), v["selector"], F.lit(" is "), said)
+    return rows.select(id_.alias("item_id"), "number", text.alias("text"), F.when(straight, "yes").otherwise("no").alias("truth"))
+
+
+def reverified(items: DataFrame, replacements: DataFrame, invalid_pages: DataFrame, invalid_families: DataFrame) -> DataFrame:
+    """Items without those of invalid pages and families, each replaced by its new version where there is one (same columns)."""
+    kept = items.join(invalid_pages.select("page_id"), "page_id", "left_anti").join(invalid_families.select("family"), "family", "left_anti")
+    new = replacements.select(F.col("item_id").alias("_id"), F.struct(*replacements.columns).alias("_new"))
+    return kept.join(new, F.col("item_id") == F.col("_id"), "left").select(*(F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in items.columns))

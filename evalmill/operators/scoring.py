@@ -110,11 +110,18 @@ def per_defect(fact: DataFrame, defect: Column) -> DataFrame:
     return with_rates(confusion_counts(named.where("defect_class is not null"), ["defect_class"]))
 
 
-def majority_vote(runs: DataFrame, key: list[str], answer: str, position: str) -> DataFrame:
-    """Commonest answer of each key, the earliest one on a tie, and its share."""
-    counts = runs.groupBy(*key, answer).agg(F.count("*").alias("n"), F.min(position).alias("first"))
-    best = counts.groupBy(*key).agg(F.sum("n").alias("runs"), F.max_by(F.struct(F.col(answer).alias("a"), F.col("n").alias("n")), F.struct("n", -F.col("first"))).alias("b"))
-    return best.select(*key, F.col("b.a").alias("answer"), "runs", ratio("b.n", "runs").alias("agreement"))
+def majority_vote(runs: DataFrame, key: list[str], answer: str, position: str, refused: str | None = None, confidence: str | None = None) -> DataFrame:
+    """Commonest answer of each key, the earliest one on a tie, and its share.
+
+    With the columns named, also whether any run refused, and the confidence of
+    the first run with that answer.
+    """
+    of_first = F.min_by(confidence, position) if confidence else F.lit(None).cast("double")
+    counts = runs.groupBy(*key, answer).agg(F.count("*").alias("n"), F.min(position).alias("first"), of_first.alias("conf"), (F.bool_or(refused) if refused else F.lit(False)).alias("ref"))
+    b = F.struct(F.col(answer).alias("a"), F.col("n").alias("n"), F.col("conf").alias("c"))
+    best = counts.groupBy(*key).agg(F.sum("n").alias("runs"), F.max_by(b, F.struct("n", -F.col("first"))).alias("b"), F.bool_or("ref").alias("refused"))
+    more = ([F.col("refused")] if refused else []) + ([F.col("b.c").alias("confidence")] if confidence else [])
+    return best.select(*key, F.col("b.a").alias("answer"), "runs", ratio("b.n", "runs").alias("agreement"), *more)
 
 
 def mcnemar(correct: DataFrame) -> DataFrame:

@@ -63,7 +63,9 @@ def source_split_crosstab(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(f"WITH {B.GOLD} SELECT item_id, page_id, truth FROM gold WHERE criterion = 'en' AND page_id <> 'src0'")
 def filter_items(spark: SparkSession, sf: str) -> DataFrame:
-    return B.gold(spark, sf).where("criterion = 'en' AND page_id <> 'src0'").select("item_id", "page_id", "truth")
+    from ..operators.sampling import filter_items as filtered
+
+    return filtered(B.gold(spark, sf), criterion="en", task_level="L1", page_id=None).where("page_id <> 'src0'").select("item_id", "page_id", "truth")
 
 
 _SETS = """g AS (SELECT item_id, page_id, criterion, item_id % 7 AS m, n_chars % 5 AS k FROM gold),
@@ -170,6 +172,19 @@ def majority_vote(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.majority_vote(B.read(spark, sf, "conversations").select("conv_id", "turn", "role"), ["conv_id"], "role", "turn")
 
 
+_RUN = "event_id AS pos, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'a' WHEN 2 THEN 'b' ELSE 'c' END AS answer, event_id % 41 = 0 AS refused, CAST(event_id % 10 AS DOUBLE) / 10 AS confidence"
+
+
+@register(
+    f"""WITH r AS (SELECT user_id, {_RUN} FROM events WHERE event_id % 5 <> 0), g AS (SELECT user_id, answer, count(*) AS n, min(pos) AS first, arg_min(confidence, pos) AS c, bool_or(refused) AS ref FROM r GROUP BY 1, 2)
+    SELECT user_id, arg_max(answer, (n, -first)) AS answer, sum(n)::BIGINT AS runs, CAST(max(n) AS DOUBLE) / sum(n) AS agreement, bool_or(ref) AS refused, arg_max(c, (n, -first)) AS confidence FROM g GROUP BY 1"""
+)
+def aggregated_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of an item as one answer, with whether any refused and the first such run's confidence."""
+    runs = B.read(spark, sf, "events").where("event_id % 5 <> 0").selectExpr("user_id", *_RUN.split(", "))
+    return scoring.majority_vote(runs, ["user_id"], "answer", "pos", "refused", "confidence")
+
+
 @register(
     f"""WITH {B.GOLD}, m AS (SELECT criterion, truth, count(*) AS n, min(item_id) AS first FROM gold WHERE item_id % 3 <> 0 GROUP BY 1, 2),
     fit AS (SELECT criterion, arg_max(truth, n * 1000000000 - first) AS predicted FROM m GROUP BY 1)

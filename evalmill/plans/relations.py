@@ -293,3 +293,11 @@ def token_formulas(spark: SparkSession, sf: str) -> DataFrame:
 def usable_boxes(spark: SparkSession, sf: str) -> DataFrame:
     odd = "CASE doc_id % 6 WHEN 0 THEN array(1D, 2D, 3D) WHEN 1 THEN array(1D, 2D, double('NaN'), 4D) WHEN 2 THEN array(1D, 2D, 0D, 4D) WHEN 3 THEN array(double('Infinity'), 1D, 2D, 3D) ELSE array(0D, 0D, 1D, 2D) END AS box"
     return _sql(spark, sf, "documents", "doc_id", odd).select("doc_id", R.usable_box(F.col("box")).alias("usable"))
+
+
+@register(f"""WITH r AS (SELECT {_RUNS} FROM events) SELECT judge, count(*) AS runs, CASE WHEN NOT coalesce(bool_or(prompt IS NULL OR prompt <= 0) FILTER (error IS NULL), false) THEN sum(prompt) FILTER (error IS NULL) END AS tokens FROM r GROUP BY 1""")
+def batch_usage(spark: SparkSession, sf: str) -> DataFrame:
+    """Prompt tokens of a batch, null as soon as one run without an error has none."""
+    from ..operators.derive import usage_or_null
+
+    return usage_or_null(_runs(spark, sf).withColumn("tokens", F.col("prompt")), "judge", "error")

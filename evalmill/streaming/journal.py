@@ -2,27 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.scoring import last_wins
 
 
-def judgment_upsert(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str) -> StreamingQuery:
-    """Keeps the last row of each key in a table of versions; a version is complete once its folder is written.
+def journal(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Appends a stream's rows to a journal, one folder for each (checkpoint, batch).
 
-    A batch that runs again after a failure writes the same version again.
+    A batch that runs again after a failure replaces its own folder, and a new
+    checkpoint begins folders of its own, so nothing is doubled or forgotten.
+    Only new rows are written; ``last_judgments`` reads what counts.
     """
+    run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+
+    def append(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/run={run}/batch={number}")
+
+    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def last_judgments(spark: SparkSession, path: str, schema: str, keys: list[str], order: str) -> DataFrame:
+    """The last row of each key in a journal."""
+    return last_wins(spark.read.schema(schema).parquet(f"{path}/run=*/batch=*"), keys, order)
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = last_wins(batch, keys, order)
-        if number > 0:
-            rows = last_wins(spark.read.schema(batch.schema).parquet(f"{path}/v={number - 1}").unionByName(batch), keys, order)
-        rows.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v={number}")
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def completed(judgments: DataFrame) -> DataFrame:
+    """The trials that each rater has judged."""
+    return judgments.select("rater", "pair_id", "dimension").distinct()
 
 
 def event_windows(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str | None = "10 minutes") -> DataFrame:

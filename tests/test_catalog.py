@@ -123,16 +123,19 @@ def test_replace_by_source(spark, tmp_path):
 
 
 def test_journal_keeps_the_last_judgment(spark, tmp_path):
-    from evalmill.streaming.journal import judgment_upsert
+    from evalmill.streaming.journal import journal, last_judgments
 
     schema = "rater long, pair_id long, choice string, ord long"
     inbox = str(tmp_path / "in")
     for rows in ([(1, 1, "A", 0), (1, 2, "B", 1)], [(1, 1, "B", 2)]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(inbox)
         stream = spark.readStream.schema(schema).json(inbox)
-        judgment_upsert(stream, str(tmp_path / "out"), str(tmp_path / "cp"), ["rater", "pair_id"], "ord").awaitTermination(60)
-    last = spark.read.parquet(str(tmp_path / "out" / "v=1")).orderBy("pair_id").collect()
-    assert [(r.pair_id, r.choice) for r in last] == [(1, "B"), (2, "B")]
+        journal(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
+    last = lambda: [(r.pair_id, r.choice) for r in last_judgments(spark, str(tmp_path / "out"), schema, ["rater", "pair_id"], "ord").orderBy("pair_id").collect()]
+    assert last() == [(1, "B"), (2, "B")]
+    spark.createDataFrame([(1, 2, "A", 9)], schema).write.json(str(tmp_path / "in2"))
+    journal(spark.readStream.schema(schema).json(str(tmp_path / "in2")), str(tmp_path / "out"), str(tmp_path / "cp2")).awaitTermination(60)
+    assert last() == [(1, "B"), (2, "A")]
 
 
 def test_answer_scan_sees_every_row_and_refusal(spark, tmp_path):
