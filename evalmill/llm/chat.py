@@ -151,13 +151,19 @@ def _formatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
+def format_trees(messages: DataFrame, branches: int = 1, unique: bool = False) -> DataFrame:
     """(tree, leaf, rank, formatted, loss_starts, loss_ends), one row for each chosen path.
 
-    ``messages`` has tree, id, parent, role, text, score; ids are unique within a
-    tree.  The loss mask is the assistant's texts, as spans of code points.
+    ``messages`` has tree, id, parent, role, text, score.  Of messages that repeat
+    an id within a tree the smallest by parent, role, text and score stands for
+    all; ``unique`` says that there are none.  The loss mask is the assistant's
+    texts, as spans of code points.
     """
-    messages = written(messages.select("tree", "id", "parent", "role", "text", "score"), "messages")
+    messages = messages.select("tree", "id", "parent", "role", "text", "score")
+    if not unique:
+        one = messages.groupBy("tree", "id").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m"))
+        messages = one.select("tree", "id", "m.*")
+    messages = written(messages, "messages")
     path = chosen_paths(messages, branches)
     text = messages.select(F.col("tree").alias("t"), F.col("id").alias("i"), "role", "text")
     rows = path.join(text, path.tree.eqNullSafe(F.col("t")) & (path.id == F.col("i")))

@@ -91,7 +91,7 @@ def op9_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
     trial = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
-    formatted = written(format_trees(linear_messages(rows.union(trial))), "chats")
+    formatted = written(format_trees(linear_messages(rows.union(trial)), unique=True), "chats")
     return formatted.mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
@@ -118,5 +118,22 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id"""
 
 
+#: Components of links (a, b) over nodes (id), by the smallest id reachable.
+_COMPONENTS = """reach AS (SELECT id, id AS root FROM nodes UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.id),
+component AS (SELECT id, min(root) AS root FROM reach GROUP BY 1)"""
+
+_OP1 = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) > 1 THEN list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) ELSE words END) AS shingle FROM w),
+n AS (SELECT doc_id AS id, count(*) AS n FROM s GROUP BY 1), common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * c >= 80 * (x.n + y.n - c)), nodes AS (SELECT doc_id AS id FROM documents), {_COMPONENTS}
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.root AS component_id, c.root = d.doc_id AS kept FROM documents d LEFT JOIN n ON n.id = d.doc_id JOIN component c ON c.id = d.doc_id"""
+
+_OP5 = f"""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+u AS (SELECT *, sqrt(list_dot_product(e, e)) AS size FROM v WHERE NOT list_contains(list_transform(e, lambda x: x IS NULL OR NOT isfinite(x)), true) AND list_dot_product(e, e) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_dot_product(x.e, y.e) / (x.size * y.size) >= 0.93::DOUBLE),
+nodes AS (SELECT vec_id AS id FROM embeddings), {_COMPONENTS}, k AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+SELECT e.vec_id, coalesce(k.n, 0) AS n_links, c.root AS component_id, c.root = e.vec_id AS kept FROM embeddings e LEFT JOIN k ON k.a = e.vec_id JOIN component c ON c.id = e.vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_trees": _OP9}
+    return {"op1_minhash_near_dedup": _OP1, "op5_embedding_near_dedup": _OP5, "op9_chat_trees": _OP9}

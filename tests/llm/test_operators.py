@@ -482,6 +482,8 @@ def test_reply_trees(spark):
     assert [t for _, t in chat.parse_turns(got[1, 1].formatted)] == ["q", "good", "more", "end"]
     assert [t for _, t in chat.parse_turns(got[1, 2].formatted)] == ["q", "bad"]
     assert set(got) == {(1, 1), (1, 2), (2, 1)}
+    again = {(r.tree, r.rank): r.formatted for r in chat.format_trees(m.union(m).union(m), branches=2).collect()}
+    assert again == {k: r.formatted for k, r in got.items()}
 
 
 def test_conversations_with_odd_rows(spark):
