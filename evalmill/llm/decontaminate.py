@@ -188,9 +188,9 @@ class BlockMaxIndex:
 def item_indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[BlockMaxIndex]]:
     """For each reading of the documents, the indexes of its items, one for each length class.
 
-    A reading's items have ``POSTINGS_OF_PASS`` word pairs or fewer (one item may have
-    more), so what is broadcast is bounded however many items there are; weights
-    and counts come from all items.
+    A reading's items have about ``POSTINGS_OF_PASS`` word pairs (they are dealt by a
+    hash), so what is broadcast is bounded however many items there are; weights and
+    counts come from all items.
     """
     src = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
     src = written(src.groupBy("item_id").agg(F.min("text").alias("text")), "items")

@@ -106,7 +106,10 @@ def tags_of(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
             continue
         name, end = m[3].lower(), at
         while (q := _ENDS_OF_TAG.search(html, end)) is not None and q[0] != ">":
-            close = find(q[0], q.end()) if html[at : q.start()].rstrip()[-1:] == "=" else q.start()
+            before = q.start() - 1
+            while before > at and html[before].isspace():
+                before -= 1
+            close = find(q[0], q.end()) if html[before] == "=" else q.start()
             end = q.end() if close < 0 else close + 1
         stop = len(html) if q is None else q.start()
         yield start, min(stop + 1, len(html)), bool(m[2]), name, html[at:stop]

@@ -175,7 +175,7 @@ def test_odd_markup(html, text):
 
 
 def test_deep_and_broken_pages_take_linear_time():
-    for html in ("<div class=abc>x" * 50_000, '<div class="x>' * 50_000, "<b>" * 30_000 + "<h1>x</h1>" * 30_000, "<svg>" * 50_000, "<p a='" * 50_000, "<!--" * 50_000):
+    for html in ("<div class=abc>x" * 50_000, '<div class="x>' * 50_000, "<b>" * 30_000 + "<h1>x</h1>" * 30_000, "<svg>" * 50_000, "<p a='" * 50_000, "<!--" * 50_000, "<p " + "a'b\"" * 50_000 + "x"):
         began = time.process_time()
         html_consensus.text_below(html, None)
         assert time.process_time() - began < 6
