@@ -28,10 +28,10 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -161,10 +161,15 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.model = self.tokenizer.model
+        self.pieces: dict[bytes, bytes] = {}
         self.clear()
 
     def clear(self) -> None:
+        """Forgets the words; their pieces, which are fewer, stay until there are as many."""
         outer = self
+        if len(self.pieces) > self.limit:
+            self.pieces = {}
 
         class Places(dict):
             def __missing__(self, word: bytes) -> int:
@@ -173,7 +178,6 @@ class WordEncoder:
                 return place
 
         self.places, self.fresh = Places(), []
-        self.pieces: dict[bytes, bytes] = {}
         self.flat = np.empty(0, "<u4")
         self.starts, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
 
@@ -183,11 +187,14 @@ class WordEncoder:
 
     def _piece(self, word: bytes) -> bytes | None:
         """The ids of a run of Latin letters; None for anything else.  Letters below U+0250 have one composed form."""
-        text = word.decode().lower()
-        if not text.isalpha() or max(text) >= "ɐ":
-            return None
-        shown = text if text.isascii() else text.encode().decode("latin-1").translate(self.BYTES)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+        if word.isalpha():  # ASCII letters alone, in lower case already
+            shown = word.decode()
+        else:
+            text = word.decode().lower()
+            if not text.isalpha() or max(text) >= "ɐ":
+                return None
+            shown = text.encode().decode("latin-1").translate(self.BYTES)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _learn(self) -> None:
         """Adds the ids of the words met since the last call."""
@@ -222,15 +229,20 @@ class WordEncoder:
         """The ids of each text; none for a null or empty one."""
         if len(self.places) > self.limit:
             self.clear()
-        words = [(t or "").encode().split() for t in texts]
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        places = np.fromiter(map(self.places.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+        split = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
+        words = split.flatten()
+        there = pc.greater(pc.binary_length(words), 0)
+        upto = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))])  # words before each piece between white space
+        upto = upto[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        coded = words.filter(there).dictionary_encode()
+        distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        places = np.fromiter(map(self.places.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         if self.fresh:
             self._learn()
         sizes = self.sizes[places]
         ends = np.cumsum(sizes)
         ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[places] - (ends - sizes), sizes)]
-        return np.split(ids, np.concatenate([[0], ends])[np.cumsum(counts)[:-1]]) if len(words) else []
+        return np.split(ids, np.concatenate([[0], ends])[upto[1:-1]]) if len(split) else []
 
 
 _encoders: dict[str, WordEncoder] = {}
