@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator
 
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .align import alignments, linked
+from .audit import filter_audit
 from .lattice import near_vectors
 from .minhash import near_duplicates
 from .chat import format_trees, linear_messages, parse_turns, unescape
@@ -19,11 +21,14 @@ from .labelled import held_out
 from .mixing import mixed
 from .planes import read_token_files, write_token_files
 from .quality import fit_quality, quality_scores
+from .secrets import find_secrets
 from .shared import table, written
 from .toxicity import fit_toxicity, toxicity_scores
 from .wordpiece import token_counts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +106,39 @@ def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each source, in all 120 orders."""
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the secrets in it."""
+    rows = find_secrets(table(spark, sf_dir, "documents"), WORD_BPE)
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    said = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    base = F.filter(said, lambda s: ~s.startswith("guess:"))
+    return rows.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(said, ",").alias("spans"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its groups and links of the tokens of two tokenizers."""
+    rows = alignments(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    rows = linked(rows.withColumn("groups_sha256", digest).drop("groups"))
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+_QUERIES = (
+    op1_minhash_near_dedup, op2_token_counts, op3_html_text, op4_decontamination, op5_embedding_near_dedup, op6_source_mixing, op7_toxicity, op8_quality, op9_chat_trees, op10_bit_planes,
+    op11_filter_audit, op12_secret_scan, op13_tokenizer_alignment,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op3_html_text, op4_decontamination, op5_embedding_near_dedup, op6_source_mixing, op7_toxicity, op8_quality, op9_chat_trees, op10_bit_planes)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 _CONTROL = r"(\\|<s>|<<ROLE>>|<</ROLE>>|<</TURN>>|<<SYS>>|\[INST\]|\[ASST\]|<</SYS>>|\[/INST\]|</s>)"
@@ -135,5 +171,24 @@ nodes AS (SELECT vec_id AS id FROM embeddings), {_COMPONENTS}, k AS (SELECT a, c
 SELECT e.vec_id, coalesce(k.n, 0) AS n_links, c.root AS component_id, c.root = e.vec_id AS kept FROM embeddings e LEFT JOIN k ON k.a = e.vec_id JOIN component c ON c.id = e.vec_id"""
 
 
+_OP11 = """WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+f AS (SELECT doc_id, part, CASE WHEN len(words) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 4 ELSE 0 END
+  + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN first < doc_id THEN 16 ELSE 0 END AS failed FROM w),
+m AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+c AS (SELECT part, failed, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM f LEFT JOIN m USING (doc_id) GROUP BY 1, 2),
+l AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(letter, bit)),
+o AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM l a, l b, l c, l d, l e
+  WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, step, bits[step] AS own, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INT) AS before FROM o, (SELECT unnest(range(1, 6))::INT AS step)),
+r AS (SELECT part, filter_order, step, own, sum(CASE WHEN failed & (own | before) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+  sum(CASE WHEN failed & own <> 0 AND failed & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN failed & own <> 0 AND failed & before <> 0 THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN failed = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN failed & own <> 0 AND failed & before = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+  sum(CASE WHEN failed & own <> 0 AND failed & before = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM c, s GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": _OP1, "op5_embedding_near_dedup": _OP5, "op9_chat_trees": _OP9}
+    return {"op1_minhash_near_dedup": _OP1, "op5_embedding_near_dedup": _OP5, "op9_chat_trees": _OP9, "op11_filter_audit": _OP11}
