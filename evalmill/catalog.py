@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_PLANS = ("evaluation", "answers", "decisions", "relations", "files", "instrument", "judges", "preference", "selection", "derivation")
+_PLANS = ("evaluation", "answers", "decisions", "pages", "relations", "files", "instrument", "judges", "preference", "selection", "derivation")
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 

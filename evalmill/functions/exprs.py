@@ -89,13 +89,6 @@ def css_color(text: Column) -> Column:
     return F.coalesce(by_hex, by_call)
 
 
-def color_contrast(fg: Column, bg: Column) -> Column:
-    """Contrast of two CSS colours, null where one can't be read."""
-    a, b = css_color(fg), css_color(bg)
-    ratio_ = contrast(relative_luminance(a["r"], a["g"], a["b"]), relative_luminance(b["r"], b["g"], b["b"]))
-    return F.when(a.isNotNull() & b.isNotNull(), ratio_)
-
-
 def relative_luminance(r: Column, g: Column, b: Column) -> Column:
     """Of an sRGB colour with channels 0..255."""
 

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import color_contrast
+from ..functions.exprs import contrast, css_color, relative_luminance
 
 #: The defect classes with their criterion.
 CRITERION = {
@@ -52,7 +52,7 @@ def _past(right: Column, width: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """The condition of each class over the columns of a measurement."""
+    """The condition of each class over the columns of a measurement and its ``_contrast``."""
     c = F.col
     threshold = lambda default: F.coalesce(c("p_threshold"), F.lit(float(default)))
     small = (c("width") < threshold(TARGET_PX)) | (c("height") < threshold(TARGET_PX))
@@ -63,7 +63,7 @@ def rules() -> dict[str, Column]:
     hidden = c("overflow_x").isin("hidden", "clip") | (c("overflow") == "hidden")
     same = c("value") == c("p_expected")
     return {
-        "contrast:degrade": color_contrast(c("fg"), c("bg")) < F.when(large_text(c("font_size"), c("font_weight")), CONTRAST_LARGE).otherwise(CONTRAST),
+        "contrast:degrade": c("_contrast") < F.when(large_text(c("font_size"), c("font_weight")), CONTRAST_LARGE).otherwise(CONTRAST),
         "alt:strip": ~c("has_alt"),
         "alt:garble": (alt != "") & file_like,
         "label:orphan": c("present") & ~c("labelled"),
@@ -85,13 +85,30 @@ def rules() -> dict[str, Column]:
     }
 
 
-def fires() -> Column:
-    """Whether the row's class shows: never without a measurement, and an error for a class without a rule."""
+def with_contrast(rows: DataFrame, asked: Column) -> DataFrame:
+    """Adds ``_contrast`` of ``fg`` and ``bg`` where ``asked``; null where a colour can't be read.
+
+    Each step is a generator of one row, past which Spark moves no filter: what
+    reads the contrast reads a column, and not a copy of the expression.
+    """
+    colors = F.when(asked, F.struct(css_color(F.col("fg")).alias("fg"), css_color(F.col("bg")).alias("bg")))
+    rows = rows.withColumn("_rgb", F.explode(F.array(colors)))
+    light = {g: relative_luminance(*(F.col(f"_rgb.{g}.{c}") for c in "rgb")) for g in ("fg", "bg")}
+    rows = rows.withColumn("_light", F.explode(F.array(F.struct(*(v.alias(g) for g, v in light.items())))))
+    both = F.col("_light.fg").isNotNull() & F.col("_light.bg").isNotNull()
+    return rows.withColumn("_contrast", F.when(both, contrast(F.col("_light.fg"), F.col("_light.bg")))).drop("_rgb", "_light")
+
+
+def judged(measurements: DataFrame) -> DataFrame:
+    """Adds ``fires``, whether the row's class shows: never without a measurement, and an error for a class without a rule.
+
+    """
+    rows = with_contrast(measurements.withColumn("_asked", F.col("defect_class") == "contrast:degrade"), F.col("_asked"))
     out = F
     for name, rule in rules().items():
         out = out.when(F.col("defect_class") == name, rule)
     known = out.otherwise(F.raise_error(F.concat(F.lit("no rule for defect class "), F.col("defect_class"))).cast("boolean"))
-    return F.col("measured") & F.coalesce(known, F.lit(False))
+    return rows.withColumn("fires", F.col("measured") & F.coalesce(known, F.lit(False))).drop("_asked", "_contrast")
 
 
 def criterion_of(defect_class: Column) -> Column:
@@ -100,12 +117,12 @@ def criterion_of(defect_class: Column) -> Column:
 
 def verified(measurements: DataFrame) -> DataFrame:
     """The planted defects that show."""
-    return measurements.where(fires())
+    return judged(measurements).where("fires").drop("fires")
 
 
 def verified_controls(measurements: DataFrame) -> DataFrame:
     """The clean twins on which the class was measured and does not show."""
-    return measurements.where(F.col("measured") & ~fires())
+    return judged(measurements).where(F.col("measured") & ~F.col("fires")).drop("fires")
 
 
 def criteria_shown() -> Column:

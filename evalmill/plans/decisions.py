@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import register
-from ..functions import exprs
 from ..operators import decisions as D
+from ..sources.scratch import written
 from . import bridge as B
 
 _CLASSES = list(D.CRITERION)
@@ -99,28 +99,29 @@ shown AS (SELECT *, list_concat([criterion], more) AS criteria FROM list_distinc
 
 
 def measurements(spark: SparkSession, sf: str) -> DataFrame:
-    """One measurement for each line, its class in turn."""
+    """One measurement for each line, its class in turn, as a written table: the rules read its columns, not the expressions they come from."""
     rows = B.read(spark, sf, "lineitem").selectExpr("concat('p', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS page_id", "(l_orderkey + l_linenumber * 7) % 19 AS n", f"{_V} AS v")
-    return rows.selectExpr("page_id", f"element_at(array({_NAMES}), CAST(n + 1 AS INT)) AS defect_class", *(f"{sql} AS `{name}`" for name, sql in _FIELDS.items()))
+    rows = rows.selectExpr("page_id", f"element_at(array({_NAMES}), CAST(n + 1 AS INT)) AS defect_class", *(f"{sql} AS `{name}`" for name, sql in _FIELDS.items()))
+    return written(rows, "measurements")
 
 
 @register(f"WITH {MEASURED} SELECT page_id, defect_class, measured, fires FROM fired")
 def decision_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Whether each planted defect shows, for all nineteen classes."""
-    return measurements(spark, sf).select("page_id", "defect_class", "measured", D.fires().alias("fires"))
+    return D.judged(measurements(spark, sf)).select("page_id", "defect_class", "measured", "fires")
 
 
 @register(f"WITH {MEASURED} SELECT page_id, CASE WHEN f IS NOT NULL THEN round(ratio, 9) END AS ratio, is_large FROM m WHERE defect_class = 'contrast:degrade'")
 def color_contrasts(spark: SparkSession, sf: str) -> DataFrame:
     """Contrast of text and ground by CSS colours, and whether the text is large; null for a colour that can't be read."""
     rows = measurements(spark, sf).where("defect_class = 'contrast:degrade'")
-    return rows.select("page_id", F.round(exprs.color_contrast(F.col("fg"), F.col("bg")), 9).alias("ratio"), D.large_text(F.col("font_size"), F.col("font_weight")).alias("is_large"))
+    return D.with_contrast(rows, F.lit(True)).select("page_id", F.round("_contrast", 9).alias("ratio"), D.large_text(F.col("font_size"), F.col("font_weight")).alias("is_large"))
 
 
 @register(f"WITH {MEASURED} SELECT defect_class, count(*) AS attempted, count(*) FILTER (fires) AS verified, count(*) FILTER (NOT fires) AS discarded, count(*) FILTER (measured AND NOT fires) AS controls FROM fired GROUP BY 1")
 def build_report(spark: SparkSession, sf: str) -> DataFrame:
     """What a build tried, verified and discarded, by class, and the controls it may keep."""
-    rows = measurements(spark, sf).withColumn("fires", D.fires())
+    rows = D.judged(measurements(spark, sf))
     return rows.groupBy("defect_class").agg(F.count("*").alias("attempted"), F.count_if("fires").alias("verified"), F.count_if(~F.col("fires")).alias("discarded"), F.count_if(F.col("measured") & ~F.col("fires")).alias("controls"))
 
 
