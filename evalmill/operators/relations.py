@@ -36,9 +36,9 @@ def mutation_receipts(items: DataFrame) -> DataFrame:
     return out.select("page_id", F.when(F.col("has"), F.col("l1")).otherwise(F.col("first")).alias("receipt"))
 
 
-def in_artifact_order(artifact: DataFrame, ids: str, items: DataFrame) -> DataFrame:
-    """Items in the order of an artifact's list of ids, which is kept as ``place``; ids without an item are left out."""
-    return artifact.select(F.posexplode(ids).alias("place", "item_id")).join(items, "item_id")
+def in_artifact_order(artifact: DataFrame, ids: str, items: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Items in the order of an artifact's list of ids, which is kept as ``place`` beside the artifact's columns ``keep``; ids without an item are left out."""
+    return artifact.select(*(keep or []), F.posexplode(ids).alias("place", "item_id")).join(items, "item_id")
 
 
 def next_trial(trials: DataFrame, done: DataFrame) -> DataFrame:

@@ -124,18 +124,19 @@ def majority_vote(runs: DataFrame, key: list[str], answer: str, position: str, r
     return best.select(*key, F.col("b.a").alias("answer"), "runs", ratio("b.n", "runs").alias("agreement"), *more)
 
 
-def mcnemar(correct: DataFrame) -> DataFrame:
-    """Discordant counts of all ordered pairs of judges on shared items (judge, item_id, ok).
+def mcnemar(correct: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Discordant counts of all ordered pairs of judges on shared items (judge, item_id, ok), for each ``by`` of the items.
 
     The counts come from one aggregate for each item and pair of judges with
     judge_a < judge_b and are mirrored: the test is symmetric.
     """
-    a = correct.select("item_id", F.col("judge").alias("judge_a"), F.col("ok").alias("ok_a"))
+    by = by or []
+    a = correct.select("item_id", *by, F.col("judge").alias("judge_a"), F.col("ok").alias("ok_a"))
     b = correct.select("item_id", F.col("judge").alias("judge_b"), F.col("ok").alias("ok_b"))
-    half = a.join(b, "item_id").where("judge_a < judge_b").groupBy("judge_a", "judge_b").agg(
+    half = a.join(b, "item_id").where("judge_a < judge_b").groupBy(*by, "judge_a", "judge_b").agg(
         F.count("*").alias("shared"), F.count_if(F.col("ok_a") & ~F.col("ok_b")).alias("b"), F.count_if(~F.col("ok_a") & F.col("ok_b")).alias("c")
     )
-    both = half.unionByName(half.select(F.col("judge_b").alias("judge_a"), F.col("judge_a").alias("judge_b"), "shared", F.col("c").alias("b"), F.col("b").alias("c")))
+    both = half.unionByName(half.select(*by, F.col("judge_b").alias("judge_a"), F.col("judge_a").alias("judge_b"), "shared", F.col("c").alias("b"), F.col("b").alias("c")))
     n = F.col("b") + F.col("c")
     d = F.abs(F.col("b") - F.col("c")) - 1
     return both.select("*", F.when(n == 0, "none").when(n < 25, "exact").otherwise("chi2").alias("method"), F.when(n >= 25, (d * d).cast("double") / n).alias("statistic"))

@@ -176,12 +176,12 @@ _RUN = "event_id AS pos, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'a' WHEN
 
 
 @register(
-    f"""WITH r AS (SELECT user_id, {_RUN} FROM events WHERE event_id % 5 <> 0), g AS (SELECT user_id, answer, count(*) AS n, min(pos) AS first, arg_min(confidence, pos) AS c, bool_or(refused) AS ref FROM r GROUP BY 1, 2)
+    f"""WITH r AS (SELECT user_id, {_RUN} FROM events), g AS (SELECT user_id, answer, count(*) AS n, min(pos) AS first, arg_min(confidence, pos) AS c, bool_or(refused) AS ref FROM r GROUP BY 1, 2)
     SELECT user_id, arg_max(answer, (n, -first)) AS answer, sum(n)::BIGINT AS runs, CAST(max(n) AS DOUBLE) / sum(n) AS agreement, bool_or(ref) AS refused, arg_max(c, (n, -first)) AS confidence FROM g GROUP BY 1"""
 )
 def aggregated_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Runs of an item as one answer, with whether any refused and the first such run's confidence."""
-    runs = B.read(spark, sf, "events").where("event_id % 5 <> 0").selectExpr("user_id", *_RUN.split(", "))
+    runs = B.read(spark, sf, "events").selectExpr("user_id", *_RUN.split(", "))
     return scoring.majority_vote(runs, ["user_id"], "answer", "pos", "refused", "confidence")
 
 

@@ -52,19 +52,22 @@ def mutation_receipts(spark: SparkSession, sf: str) -> DataFrame:
     return R.mutation_receipts(rows)
 
 
-@register("SELECT place, d.doc_id AS item_id, d.lang FROM (SELECT unnest(range(100))::BIGINT AS place, (unnest(range(100)) * 37) % 150 AS id) a JOIN documents d ON d.doc_id = a.id")
+@register("""WITH l AS (SELECT list(doc_id ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS ids, doc_id // 500 AS artifact FROM documents GROUP BY 2),
+  a AS (SELECT artifact, unnest(range(len(ids))) AS place, unnest(ids) AS id FROM l) SELECT a.artifact, a.place, d.doc_id AS item_id, d.lang FROM a JOIN documents d ON d.doc_id = a.id""")
 def items_in_artifact_order(spark: SparkSession, sf: str) -> DataFrame:
-    artifact = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: (i * 37) % 150).alias("ids"))
-    got = R.in_artifact_order(artifact, "ids", _sql(spark, sf, "documents", "doc_id AS item_id", "lang"))
-    return got.select(F.col("place").cast("long").alias("place"), F.col("item_id").cast("long").alias("item_id"), "lang")
+    """All documents, in the order in which the list of their artifact, of up to 500, names them."""
+    docs = _sql(spark, sf, "documents", "doc_id AS item_id", "lang")
+    named = F.struct(F.md5(F.col("item_id").cast("string")).alias("h"), F.col("item_id").alias("id"))
+    lists = docs.groupBy(F.expr("item_id div 500").alias("artifact")).agg(F.transform(F.array_sort(F.collect_list(named)), lambda x: x["id"]).alias("ids"))
+    return R.in_artifact_order(lists, "ids", docs, ["artifact"]).select("artifact", F.col("place").cast("long").alias("place"), "item_id", "lang")
 
 
 @register("""WITH t AS (SELECT o_custkey % 7 AS rater, o_orderkey % 40 AS pair_id, o_orderkey % 3 AS dimension, o_orderkey AS place FROM orders),
-  d AS (SELECT DISTINCT user_id % 7 AS rater, event_id % 40 AS pair_id, event_id % 3 AS dimension FROM events WHERE event_id < 300)
+  d AS (SELECT DISTINCT user_id % 7 AS rater, event_id % 40 AS pair_id, event_id % 3 AS dimension FROM events WHERE user_id % 3 = 0)
   SELECT rater, arg_min(pair_id, place) AS pair_id, arg_min(dimension, place) AS dimension FROM t WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.rater = t.rater AND d.pair_id = t.pair_id AND d.dimension = t.dimension) GROUP BY 1""")
 def next_trials(spark: SparkSession, sf: str) -> DataFrame:
     trials = _sql(spark, sf, "orders", "o_custkey % 7 AS rater", "o_orderkey % 40 AS pair_id", "o_orderkey % 3 AS dimension", "o_orderkey AS place")
-    done = _sql(spark, sf, "events", "event_id", "user_id % 7 AS rater", "event_id % 40 AS pair_id", "event_id % 3 AS dimension").where("event_id < 300")
+    done = _sql(spark, sf, "events", "event_id", "user_id % 7 AS rater", "event_id % 40 AS pair_id", "event_id % 3 AS dimension").where("user_id % 3 = 0")
     return R.next_trial(trials, done)
 
 
