@@ -156,10 +156,12 @@ def format_trees(messages: DataFrame, branches: int = 1, unique: bool = False) -
 
     ``messages`` has tree, id, parent, role, text, score.  Of messages that repeat
     an id within a tree the smallest by parent, role, text and score stands for
-    all; ``unique`` says that there are none.  The loss mask is the assistant's
+    all; ``unique`` says that there are none.  Null roles and texts are empty, and
+    messages without an id are in no path.  The loss mask is the assistant's
     texts, as spans of code points.
     """
-    messages = messages.select("tree", "id", "parent", "role", "text", "score")
+    said = (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text"))
+    messages = messages.where("id is not null").select("tree", "id", "parent", *said, "score")
     if not unique:
         one = messages.groupBy("tree", "id").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m"))
         messages = one.select("tree", "id", "m.*")

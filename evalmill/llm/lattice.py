@@ -264,12 +264,14 @@ def near_vectors(
     non-finite numbers, and rows without a label or an id, are linked with
     nothing; vectors of other lengths are never compared; equal vectors are one
     node with a number of copies, each linked to the others; rows that repeat an
-    id each count as a vector.  Other columns are ignored.
+    id each count as a vector and are in one component.  Other columns are
+    ignored.
     """
     src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).cast("string").alias("label"))
     ready = written(src.mapInArrow(_prepare, "id long, fp binary, label string, unit binary"), "units")
-    classes = ready.where("fp is not null").groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("unit").alias("unit"))
-    classes = written(classes, "classes")
+    classes = ready.where("fp is not null").groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("unit").alias("unit"))
+    # A class is known by a number of its own: an id that is repeated may be the first of several classes.
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     hashed = classes.select("rep", "copies", "label", "unit").mapInArrow(_hash_rows(tables, blocks, scale, probes), "rep long, copies long, unit binary, own array<long>, key array<long>")
     hashed = written(hashed, "cells")
     thin = hashed.select("rep", F.posexplode("key").alias("pos", "cell"))
@@ -281,9 +283,14 @@ def near_vectors(
     full = work.join(hashed, "rep").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
     found = written(full.select("cell", "i", "j", "side", "rep", "copies", "unit", "own", "key").mapInArrow(_comparer(threshold, tables), "rep long, links long, root long"), "found")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = connected_components(found, "rep", "root").select(F.col("id").alias("rep"), "root")
-    per_class = classes.select("fp", "rep", "copies").join(links, "rep", "left").join(roots, "rep", "left")
-    out = ready.select("id", "fp").join(per_class, "fp", "left")
-    n_links = F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))
-    comp = F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id"))
-    return out.select(F.col("id").alias(id_col), n_links.alias("n_links"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
+    # Components are those of ids: each class by its first id, and each id that stands in more than one row by all its classes.
+    ends = classes.select(F.col("rep").alias("root"), F.col("first").alias("b"))
+    met = found.select("rep", "root").distinct().join(classes.select("rep", F.col("first").alias("a")), "rep").join(ends, "root").select("a", "b")
+    repeated = ready.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    own = ready.where("fp is not null").join(repeated, "id", "left_semi").join(classes, "fp").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    roots = connected_components(met.union(own), "a", "b").select(F.col("id").alias("first"), "root")
+    per_class = classes.select("fp", "rep", "first", "copies").join(links, "rep", "left").join(roots, "first", "left")
+    with_class = ready.where("fp is not null").select("id", "fp").join(per_class, "fp").select("id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "first").alias("root"))
+    alone = ready.where("fp is null").select("id").join(roots.withColumnRenamed("first", "id"), "id", "left").select("id", F.lit(0).cast("long").alias("n_links"), F.coalesce("root", "id").alias("root"))
+    out, comp = with_class.union(alone), F.col("root")
+    return out.select(F.col("id").alias(id_col), "n_links", comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))

@@ -23,6 +23,7 @@ All numbers are little-endian.  The closing line feed belongs to each record.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -245,13 +246,51 @@ class WordEncoder:
         return np.split(ids, np.concatenate([[0], ends])[upto[1:-1]]) if len(split) else []
 
 
-_encoders: dict[str, WordEncoder] = {}
+class TextEncoder:
+    """Encodes whole texts with the tokenizers library, whatever its file says."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+
+
+#: What a tokenizer file has to say for its texts to be encoded word by word (fixed values).
+WORD_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+_MODEL_RULES = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "ignore_merges": False}
+
+
+def encodes_by_word(path: str) -> bool:
+    """Whether a tokenizer file has the rules that :class:`WordEncoder` relies on."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    added = [t for t in spec.get("added_tokens") or () if t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized") or any(c.isspace() for c in t["content"])]
+    return not added and all(spec.get(k) == v for k, v in WORD_RULES.items()) and all(spec["model"].get(k, v) == v for k, v in _MODEL_RULES.items())
+
+
+_encoders: dict[str, WordEncoder | TextEncoder] = {}
 
 
-def _encoder(path: str) -> WordEncoder:
+def _encoder(path: str) -> WordEncoder | TextEncoder:
     """One encoder for each Python worker, which Spark reuses for later tasks."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = WordEncoder(path) if encodes_by_word(path) else TextEncoder(path)
     return _encoders[path]
 
 
@@ -299,7 +338,9 @@ def write_token_files(
 ) -> str:
     """Writes the ids of all texts in ascending order of their ids; gives the folder.
 
-    File numbers rise as the documents do.  Defined cases: a null or empty text is
+    File numbers rise as the documents do.  ``tokenizer`` is any tokenizer.json;
+    one with the rules of words in lower case is encoded word by word, any other
+    by whole texts.  Defined cases: a null or empty text is
     the end id alone; rows that repeat an id stand one after the other, by text;
     rows without an id come first and carry the smallest 64-bit id; other
     columns are ignored; an empty table gives files without records.

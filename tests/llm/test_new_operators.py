@@ -2,19 +2,22 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import string
+import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
 import sentencepiece
 import tokenizers
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from evalmill.llm import align, audit, queries, secrets
+from evalmill.llm import align, audit, chat, lattice, planes, quality, queries, secrets
 
 WORD_BPE, BYTE_BPE, PIECE_BPE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 DOC = "doc_id long, text string, lang string, source string, n_chars long, word string, failed int, row long, n long, a int, spans string"
@@ -253,3 +256,83 @@ def test_other_byte_level_files_use_their_own_library(tmp_path):
     own = tokenizers.Tokenizer.from_file(str(tmp_path / "t.json"))
     assert align.ByteLevel(str(tmp_path / "t.json")).encode(["Hello world"]) == [own.encode("Hello world", add_special_tokens=False).ids] != align.ByteLevel(BYTE_BPE).encode(["Hello world"])
     assert string.ascii_letters.encode() in b"".join(align.ByteLevel(BYTE_BPE).bytes[i] for i in A.encode(string.ascii_letters).ids)
+
+
+# --- earlier operators: repeated ids, null texts, other tokenizers
+
+
+def test_vectors_of_repeated_ids_keep_their_own_links(spark):
+    rng = random.Random(1)
+    dim = 16
+    a, b, c = ([rng.gauss(0, 1) for _ in range(dim)] for _ in range(3))
+    near = lambda v: [x + 0.01 * rng.gauss(0, 1) for x in v]
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (5, a), (6, c), (6, None), (8, c), (9, [0.0] * dim), (9, near(c)), (None, a), (7, b)]
+    frame = spark.createDataFrame([(i, v, "x", 1, 2) for i, v in rows], "vec_id long, embedding array<double>, label string, first long, root long")
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in lattice.near_vectors(frame).collect())
+
+    def cosine(x, y):
+        return sum(p * q for p, q in zip(x, y)) / (sum(p * p for p in x) * sum(q * q for q in y)) ** 0.5
+
+    valid = [v is not None and any(v) and i is not None for i, v in rows]
+    links = [[k for k in range(len(rows)) if k != j and valid[j] and valid[k] and cosine(rows[j][1], rows[k][1]) >= 0.93] for j in range(len(rows))]
+    root = {i: i for i, _ in rows if i is not None}
+    for _ in rows:
+        for j, (i, _) in enumerate(rows):
+            for k in links[j]:
+                root[i] = root[rows[k][0]] = min(root[i], root[rows[k][0]])
+    assert got == sorted((i or 0, len(links[j]), root.get(i, 0)) for j, (i, _) in enumerate(rows))
+
+
+def test_trees_with_null_texts_and_roles(spark):
+    rows = [(1, 1, None, "user", None, 1.0), (1, 2, 1, None, "b", 0.0), (1, None, 1, "user", "x", 9.0), (2, 1, None, "assistant", "", None), (2, 1, None, "assistant", "", None)]
+    frame = spark.createDataFrame([(*r, "k", 3) for r in rows], "tree long, id long, parent long, role string, text string, score double, turns string, leaf int")
+    got = {r.tree: chat.parse_turns(r.formatted) for r in chat.format_trees(frame).collect()}
+    assert got == {1: [("user", ""), ("", "b")], 2: [("assistant", "")]}
+
+
+def test_branches_that_tie_and_circles_of_parents(spark):
+    rows = [(1, 1, None, 0.0), (1, 2, 1, 1.0), (1, 3, 1, 1.0), (1, 4, 3, 1.0), (2, 1, 2, 0.0), (2, 2, 1, 0.0), (2, 3, 2, 0.0), (3, 1, None, 0.5), (3, 2, 1, 0.5), (3, 3, 1, 0.5)]
+    frame = spark.createDataFrame([(*r[:3], "user", "t", r[3]) for r in rows], "tree long, id long, parent long, role string, text string, score double")
+    got = sorted((r.tree, r["rank"], r.leaf) for r in chat.format_trees(frame, branches=2).collect())
+    assert got == [(1, 1, 4), (1, 2, 2), (3, 1, 2), (3, 2, 3)]  # a tree that is a circle has no path
+
+
+@pytest.mark.parametrize("name", [BYTE_BPE, WORD_BPE])
+def test_token_files_of_any_tokenizer(spark, name):
+    assert planes.encodes_by_word(name) == (name == WORD_BPE)
+    texts = ["Hello world, two  spaces", "ÀÉ don't\n\nx", None, "", "<|endoftext|> a<|startoftext|>b"]
+    path = planes.write_token_files(documents(spark, texts), name)
+    own = tokenizers.Tokenizer.from_file(name)
+    rows = sorted(planes.read_token_files(spark, path).collect(), key=lambda r: r.doc_id)
+    want = [own.encode(t or "", add_special_tokens=False).ids + [planes.END_ID] for t in texts]
+    assert [(r.n_tokens, r.ids_crc32) for r in rows] == [(len(w), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in w))) for w in want]
+    assert [r.start for r in rows] == [sum(map(len, want[:k])) for k in range(len(want))]
+
+
+# --- quality, computed plainly
+
+
+def plain_quality(model, texts):
+    """The score of each text from its compressed sizes, text by text."""
+    out = []
+    for text in texts:
+        raw, sizes = (text or "").encode(), []
+        for words in (model.bad, model.good):
+            tool = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words), write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(tool.compress(raw[i : i + 512])) for i in range(0, len(raw), 512)))
+        x = (sizes[0] - sizes[1] + model.pull * model.typical) / max(len(raw) + model.pull, 1)
+        out.append(1 / (1 + math.exp(-min(max(model.slope * x + model.offset, -30), 30))))
+    return out
+
+
+def test_quality_scores_match_plain_compression(spark):
+    good, bad = ("calm river stone meadow lantern harbor", "BUY now!!! cheap $$$ click win")
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice((good if k % 2 else bad).split()) for _ in range(40)) for k in range(120)] + ["", None, "x"]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    model = quality.fit_quality(docs, labels)
+    rows = {r.doc_id: r.score for r in quality.quality_scores(docs, model).collect()}
+    plain = plain_quality(model, texts)
+    assert all(abs(rows[i] - p) < 1e-9 for i, p in enumerate(plain)) and all(0 <= s <= 1 for s in rows.values())
+    assert sum((rows[i] >= 0.5) == (i % 2 == 1) for i in range(120)) > 110
