@@ -20,11 +20,6 @@ def ratio_or_null(n: Column | str, d: Column | str) -> Column:
     return F.try_divide(n.cast("double"), d.cast("double"))
 
 
-def rounded(x: Column, digits: int = 4) -> Column:
-    """To a number of places, halves up, in double arithmetic."""
-    return F.floor(x * 10.0**digits + 0.5) / F.lit(10.0**digits)
-
-
 def normal_answer(answer: Column) -> Column:
     """In lower case, without white space of any kind around it."""
     return F.lower(F.regexp_replace(answer, r"^\s+|\s+$", ""))

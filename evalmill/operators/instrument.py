@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.canonical import rounded
 from .relations import inside, overlaps, usable_box
 
 #: What evidence a success criterion needs; any other is static-semantic-or-structural.
@@ -55,7 +58,7 @@ def same_as(field: str) -> Column:
     return F.col(field).eqNullSafe(F.col(f"want_{field}"))
 
 
-#: Fields of a capture that must be what its item and files say, with the reason given if they aren't.
+#: The fields that a capture's description has to match, and the reason where one doesn't.
 COMPARED = {
     "schema_version": "capture_schema_mismatch",
     "contract": "screenshot_contract_mismatch",
@@ -72,33 +75,45 @@ COMPARED = {
 }
 
 
-def audit_reasons(fields: list[str]) -> Column:
-    """Sorted reasons why a capture is no valid evidence, of the compared ``fields`` and of its geometry.
+#: Why a capture can't be read at all, in the order in which it is tried.
+UNREADABLE = {"has_screenshot": "missing_screenshot", "has_metadata": "missing_capture_metadata", "readable": "invalid_capture_bundle", "is_object": "invalid_capture_metadata"}
+
+
+def audit_reasons(fields: list[str] | None = None) -> Column:
+    """Sorted reasons why a capture is no valid evidence: of what is there, of the compared ``fields``, and of its geometry.
 
-    Boxes are structs evidence, clip (x, y, w, h), document and image_size (w, h)
-    and scale (x, y); source_sha256 is null where the page's source is not there
-    or not the only one.
+    The columns of UNREADABLE tell whether the files are there and hold what they
+    should; the first that is false is the only reason.  Each compared field (all
+    by default) has a column of its own and one that begins with want_.  Boxes
+    are structs want_evidence, clip (x, y, w, h), document (w, h) and scale (x, y);
+    ``image`` (w, h) is the size of the file itself.  source_sha256 is null where
+    the page's source is not there or not the only one.  Sizes are rounded by
+    their exact value, halves to even.
     """
     c = F.col
-    bad = [F.when(~same_as(f), COMPARED[f]) for f in fields]
-    bad.append(F.when(c("want_source_sha256").isNull(), "missing_or_ambiguous_source_html").when(~same_as("source_sha256"), "source_html_hash_mismatch"))
-    known = c("clip").isNotNull() & c("scale").isNotNull() & (c("scale.x") > 0) & (c("scale.y") > 0)
-    known = F.coalesce(known, F.lit(False))
+    bad = [F.when(~same_as(f), COMPARED[f]) for f in (list(COMPARED) if fields is None else fields)]
+    bad.append(F.when(c("source_sha256").isNull(), "missing_or_ambiguous_source_html").when(~same_as("source_sha256"), "source_html_hash_mismatch"))
+    there = [c(f"clip.{f}").isNotNull() for f in "xywh"] + [c("scale.x") > 0, c("scale.y") > 0]
+    known = F.coalesce(reduce(Column.__and__, there), F.lit(False))
     bad.append(F.when(~known, "invalid_coordinate_transform"))
     e, d = "want_evidence", "document"
     right, bottom = c(f"{e}.x") + c(f"{e}.w"), c(f"{e}.y") + c(f"{e}.h")
     outside = (right <= 0) | (bottom <= 0) | (c(f"{e}.x") >= c(f"{d}.w")) | (c(f"{e}.y") >= c(f"{d}.h"))
     beyond = (c(f"{e}.x") < 0) | (c(f"{e}.y") < 0) | (right > c(f"{d}.w")) | (bottom > c(f"{d}.h"))
-    size = (F.round(c("clip.w") * c("scale.x")) != c("image_size.w")) | (F.round(c("clip.h") * c("scale.y")) != c("image_size.h"))
+    sized = c(f"{d}.w").isNotNull() & c(f"{d}.h").isNotNull()
+    size = (rounded(c("clip.w") * c("scale.x"), 0) != c("image.w")) | (rounded(c("clip.h") * c("scale.y"), 0) != c("image.h"))
     local = c("level") == "L3"
     bad += [
-        F.when(known & outside, "evidence_bbox_outside_rendered_document"),
+        F.when(known & sized & outside, "evidence_bbox_outside_rendered_document"),
         F.when(known & ~overlaps(e, "clip"), "evidence_bbox_not_visible"),
         F.when(known & local & ~inside(e, "clip"), "localization_gold_not_contained_in_source_crop"),
-        F.when(known & local & beyond, "localization_gold_exceeds_rendered_document"),
+        F.when(known & local & sized & beyond, "localization_gold_exceeds_rendered_document"),
         F.when(known & size, "coordinate_transform_dimensions_mismatch"),
     ]
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*bad))))
+    reasons = F
+    for column, reason in UNREADABLE.items():
+        reasons = reasons.when(~F.coalesce(c(column), F.lit(False)), F.array(F.lit(reason)))
+    return reasons.otherwise(F.array_sort(F.array_distinct(F.array_compact(F.array(*bad)))))
 
 
 def all_valid(audited: DataFrame) -> DataFrame:

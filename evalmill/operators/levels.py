@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.answers import abstains, box_of, labels_ambiguous, labels_of, selector_of
-from ..functions.exprs import effective_prediction, iou, normal_answer, ratio, ratio_or_null, rounded
+from ..functions.canonical import rounded
+from ..functions.exprs import effective_prediction, iou, normal_answer, ratio, ratio_or_null
 from .scoring import calibration, expected_calibration_error, last_wins
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import register
+from ..functions import canonical
 from ..operators import instrument as I
 from . import bridge as B
 
@@ -43,35 +44,80 @@ def item_viewports(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _X = "CAST(doc_id % 40 * 5 - 20 AS DOUBLE)"
+#: Whether a compared field of a capture differs, in both engines alike.
+_OFF = {f: f"(doc_id * 7 + {13 * i}) % 29 = {i}" for i, f in enumerate(I.COMPARED)}
+_EARLY = {"has_screenshot": "doc_id % 37 <> 0", "has_metadata": "doc_id % 31 <> 1", "readable": "doc_id % 41 <> 2", "is_object": "doc_id % 43 <> 3"}
+_OFF_SQL = ", ".join(f"CASE WHEN {off} THEN '{I.COMPARED[f]}' END" for f, off in _OFF.items())
+_EARLY_SQL = " ".join(f"WHEN NOT ({ok}) THEN ['{I.UNREADABLE[f]}']" for f, ok in _EARLY.items())
+_AUDIT = f"""c AS (SELECT doc_id, doc_id % 3 = 0 AS l3, {_X} AS x, doc_id % 11 AS src, doc_id % 13 = 0 AS no_scale, doc_id % 19 <> 4 AS sized, CASE WHEN doc_id % 17 = 0 THEN 170 ELSE 180 END AS iw,
+      CASE doc_id % 3 WHEN 1 THEN 2.5::DOUBLE ELSE 2.0::DOUBLE END AS sy, CASE doc_id % 3 WHEN 1 THEN 152 ELSE 122 END AS ih FROM documents),
+    r AS (SELECT doc_id, CASE {_EARLY_SQL} ELSE list_sort(list_filter([{_OFF_SQL}, CASE WHEN src = 0 THEN 'missing_or_ambiguous_source_html' WHEN src = 1 THEN 'source_html_hash_mismatch' END,
+      CASE WHEN no_scale THEN 'invalid_coordinate_transform' END, CASE WHEN NOT no_scale AND sized AND (x + 20 <= 0 OR x >= 150) THEN 'evidence_bbox_outside_rendered_document' END, CASE WHEN NOT no_scale AND NOT (x < 100 AND x + 20 > 10) THEN 'evidence_bbox_not_visible' END,
+      CASE WHEN NOT no_scale AND l3 AND NOT (x >= 10 AND x + 20 <= 100) THEN 'localization_gold_not_contained_in_source_crop' END, CASE WHEN NOT no_scale AND l3 AND sized AND (x < 0 OR x + 20 > 150) THEN 'localization_gold_exceeds_rendered_document' END,
+      CASE WHEN NOT no_scale AND (iw <> 180 OR round_even(61 * sy, 0) <> ih) THEN 'coordinate_transform_dimensions_mismatch' END], lambda v: v IS NOT NULL)) END AS reasons FROM c)"""
+
+
+def _audited(spark: SparkSession, sf: str) -> DataFrame:
+    box = lambda *v: "named_struct(" + ", ".join(f"'{k}', {x}" for k, x in zip("xywh", v)) + ")"
+    evidence = box(_X, "30D", "20D", "10D")
+    fields = [f"CASE WHEN {off} THEN 'other' ELSE 'same' END AS {f}" for f, off in _OFF.items() if f != "evidence"] + [f"'same' AS want_{f}" for f in _OFF if f != "evidence"]
+    d = B.read(spark, sf, "documents").selectExpr(
+        "doc_id", *fields, f"CASE WHEN NOT ({_OFF['evidence']}) THEN {evidence} END AS evidence", f"{evidence} AS want_evidence", *(f"{ok} AS {f}" for f, ok in _EARLY.items()),
+        "CASE WHEN doc_id % 3 = 0 THEN 'L3' ELSE 'L1' END AS level", "CASE WHEN doc_id % 11 <> 0 THEN 'h' END AS source_sha256", "CASE WHEN doc_id % 11 = 1 THEN 'g' ELSE 'h' END AS want_source_sha256", f"{box('10D', '0D', '90D', '61D')} AS clip",
+        "named_struct('x', CASE WHEN doc_id % 13 = 0 THEN 0D ELSE 2D END, 'y', CASE doc_id % 3 WHEN 1 THEN 2.5D ELSE 2D END) AS scale", "CASE WHEN doc_id % 19 <> 4 THEN named_struct('w', 150D, 'h', 400D) END AS document",
+        "named_struct('w', CASE WHEN doc_id % 17 = 0 THEN 170D ELSE 180D END, 'h', CASE doc_id % 3 WHEN 1 THEN 152D ELSE 122D END) AS image",
+    )
+    return d.select("doc_id", I.audit_reasons().alias("reasons"))
+
+
+@register(f"WITH {_AUDIT} SELECT doc_id, array_to_string(reasons, ' ') AS reasons FROM r")
+def capture_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Every reason why a capture is no valid evidence for its item, over all fields, files and geometry."""
+    return _audited(spark, sf).select("doc_id", F.concat_ws(" ", "reasons").alias("reasons"))
+
+
+@register(f"WITH {_AUDIT} SELECT unnest(CASE WHEN len(reasons) = 0 THEN ['valid'] ELSE reasons END) AS reason, count(*) AS captures FROM r GROUP BY 1")
+def capture_audit_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """How many captures have each reason; the valid ones have passed the gate that fails a run on any reason."""
+    rows = _audited(spark, sf)
+    valid = I.all_valid(rows.where(F.size("reasons") == 0)).select(F.lit("valid").alias("reason"))
+    return rows.select(F.explode("reasons").alias("reason")).union(valid).groupBy("reason").agg(F.count("*").alias("captures"))
 
 
 @register(
-    f"""WITH c AS (SELECT doc_id, doc_id % 3 = 0 AS l3, {_X} AS x, doc_id % 5 = 0 AS key_off, doc_id % 7 = 0 AS sha_off, doc_id % 11 AS src, doc_id % 13 = 0 AS no_scale, doc_id % 17 = 0 AS small FROM documents),
-    r AS (SELECT doc_id, list_sort(list_filter([CASE WHEN key_off THEN 'capture_key_mismatch' END, CASE WHEN sha_off THEN 'screenshot_hash_mismatch' END, CASE WHEN src = 0 THEN 'missing_or_ambiguous_source_html' WHEN src = 1 THEN 'source_html_hash_mismatch' END,
-      CASE WHEN no_scale THEN 'invalid_coordinate_transform' END, CASE WHEN NOT no_scale AND (x + 20 <= 0 OR x >= 150) THEN 'evidence_bbox_outside_rendered_document' END, CASE WHEN NOT no_scale AND NOT (x < 100 AND x + 20 > 10) THEN 'evidence_bbox_not_visible' END,
-      CASE WHEN NOT no_scale AND l3 AND NOT (x >= 10 AND x + 20 <= 100) THEN 'localization_gold_not_contained_in_source_crop' END, CASE WHEN NOT no_scale AND l3 AND (x < 0 OR x + 20 > 150) THEN 'localization_gold_exceeds_rendered_document' END,
-      CASE WHEN NOT no_scale AND small THEN 'coordinate_transform_dimensions_mismatch' END], lambda v: v IS NOT NULL)) AS reasons FROM c) SELECT doc_id, array_to_string(reasons, ' ') AS reasons FROM r"""
+    """SELECT doc_id, substr(sha256('{"bbox":[' || CAST(doc_id % 40 * 2.5::DOUBLE AS VARCHAR) || ',' || CAST((n_chars % 1000) / 8.0::DOUBLE AS VARCHAR) || ',20.0,' || CAST(0.1::DOUBLE AS VARCHAR) || '],"contract":"v2","page_id":' || '"p' || CAST(doc_id AS VARCHAR) || '","render_state":'
+      || CASE WHEN doc_id % 3 = 0 THEN 'null' ELSE '"men\\u00fc ' || CAST(doc_id % 5 AS VARCHAR) || '"' END || ',"viewport":"' || CASE WHEN doc_id % 2 = 0 THEN 'desktop' ELSE 'mobile' END || '"}'), 1, 20) AS capture_key FROM documents"""
 )
-def capture_audit(spark: SparkSession, sf: str) -> DataFrame:
-    """Every reason why a capture is no valid evidence for its item."""
-    box = lambda *v: "named_struct(" + ", ".join(f"'{k}', {x}" for k, x in zip("xywh", v)) + ")"
+def capture_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """The content key of each item's crop, from its canonical JSON."""
     d = B.read(spark, sf, "documents").selectExpr(
-        "doc_id", "CASE WHEN doc_id % 3 = 0 THEN 'L3' ELSE 'L1' END AS level", "'k' AS want_capture_key", "CASE WHEN doc_id % 5 = 0 THEN 'other' ELSE 'k' END AS capture_key", "'s' AS want_image_sha256", "CASE WHEN doc_id % 7 <> 0 THEN 's' END AS image_sha256",
-        "CASE WHEN doc_id % 11 <> 0 THEN 'h' END AS want_source_sha256", "CASE WHEN doc_id % 11 = 1 THEN 'g' ELSE 'h' END AS source_sha256", f"{box(_X, '30D', '20D', '10D')} AS want_evidence", f"{box('10D', '0D', '90D', '60D')} AS clip",
-        "named_struct('x', CASE WHEN doc_id % 13 = 0 THEN 0D ELSE 2D END, 'y', 2D) AS scale", "named_struct('w', 150D, 'h', 400D) AS document", "named_struct('w', CASE WHEN doc_id % 17 = 0 THEN 170D ELSE 180D END, 'h', 120D) AS image_size",
+        "doc_id", "concat('p', doc_id) AS page_id", "CASE WHEN doc_id % 2 = 0 THEN 'desktop' ELSE 'mobile' END AS viewport", "CASE WHEN doc_id % 3 <> 0 THEN concat('menü ', doc_id % 5) END AS state",
+        "array(doc_id % 40 * 2.5D, (n_chars % 1000) / 8D, 20D, 0.1D) AS box",
     )
-    return d.select("doc_id", F.concat_ws(" ", I.audit_reasons(["capture_key", "image_sha256"])).alias("reasons"))
+    return d.select("doc_id", canonical.capture_key(F.col("page_id"), F.col("viewport"), F.col("state"), F.col("box")).alias("capture_key"))
+
+
+@register(
+    f"""WITH {B.FACT}, c AS (SELECT criterion, judge, count(*) FILTER (truth = predicted) AS ok, count(*) FILTER (answered) AS n FROM fact GROUP BY 1, 2)
+    SELECT criterion, judge, sha256('{{"agreement": ' || CASE WHEN n > 0 THEN CAST(CAST(round_even(ok::DECIMAL(38, 18) / n, 4) AS DOUBLE) AS VARCHAR) ELSE 'null' END || ', "criterion": "' || criterion || '", "judge": ' || CAST(judge AS VARCHAR) || ', "n": ' || CAST(n AS VARCHAR) || '}}' || chr(10)) AS digest FROM c"""
+)
+def prediction_digests(spark: SparkSession, sf: str) -> DataFrame:
+    """The digest of each row of a report as its file holds it: rates rounded as Python rounds them, keys in order."""
+    fact = B.fact(spark, sf).groupBy("criterion", "judge").agg(F.count_if(F.col("truth") == F.col("predicted")).alias("ok"), F.count_if("answered").alias("n"))
+    rate = canonical.rounded(F.try_divide(F.col("ok").cast("double"), F.col("n").cast("double")))
+    line = canonical.prediction_line({"criterion": (F.col("criterion"), "string"), "judge": (F.col("judge"), "int"), "agreement": (rate, "float"), "n": (F.col("n"), "int")})
+    return fact.select("criterion", "judge", F.sha2(F.concat(line, F.lit("\n")), 256).alias("digest"))
 
 
 @register(
-    f"""WITH reg AS (SELECT unnest([{_LIST}]) AS code), e AS (SELECT ([{_LIST}])[CAST(doc_id % 5 + 1 AS INTEGER)] AS code, count(*) AS items FROM documents WHERE n_chars > 200 AND doc_id % 5 <> 1 GROUP BY 1)
+    f"""WITH reg AS (SELECT unnest([{_LIST}]) AS code), e AS (SELECT ([{_LIST}])[CAST(doc_id % 5 + 1 AS INTEGER)] AS code, count(*) AS items FROM documents GROUP BY 1)
     SELECT reg.code AS criterion, {_MOD.replace('CASE code', 'CASE reg.code')} AS modality, CASE WHEN reg.code IN ('1.2.1', '3.2.3') THEN 'not-representable' WHEN reg.code = '1.4.3' AND coalesce(items, 0) > 0 THEN 'covered' WHEN coalesce(items, 0) > 0 THEN 'partially-covered' ELSE 'not-yet-covered' END AS status
     FROM reg LEFT JOIN e ON e.code = reg.code"""
 )
 def criterion_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Every registered criterion's modality and how far it is covered."""
     registry = spark.createDataFrame([(c,) for c in _CODES], "criterion string")
-    e = B.read(spark, sf, "documents").where("n_chars > 200 AND doc_id % 5 <> 1").groupBy(F.expr(f"element_at(array({_LIST}), CAST(doc_id % 5 + 1 AS INT))").alias("criterion")).agg(F.count("*").alias("items"))
+    e = B.read(spark, sf, "documents").groupBy(F.expr(f"element_at(array({_LIST}), CAST(doc_id % 5 + 1 AS INT))").alias("criterion")).agg(F.count("*").alias("items"))
     rows = registry.join(e, "criterion", "left").withColumns({"items": F.coalesce("items", F.lit(0))})
     first = F.col("criterion") == "1.4.3"
     return I.coverage_status(rows.withColumns({"covered_families": F.when(first & (F.col("items") > 0), 1).otherwise(0), "behavioral": F.lit(True), "limited": ~first}))
