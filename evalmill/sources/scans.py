@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 RESULT = "item_id STRING, answer STRING, confidence DOUBLE, refused BOOLEAN, ord BIGINT"
@@ -112,6 +112,20 @@ def ingest_counts(rows: DataFrame, reason: str) -> DataFrame:
     return rows.groupBy(F.coalesce(F.col(reason), F.lit("taken")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
+def write_counted(rows: DataFrame, path: str, reason: str, reasons: list[str]) -> dict[str, int]:
+    """Writes the rows without a reason as Parquet, and counts all rows by reason in that same pass.
+
+    Gives ``taken``, a number for each of ``reasons``, ``other`` for any reason
+    besides, and ``total``; the counts come from the write's own job.
+    """
+    seen = Observation()
+    why = F.col(reason)
+    counts = [F.count_if(why == r).alias(r) for r in reasons]
+    marked = rows.observe(seen, F.count(F.lit(1)).alias("total"), F.count_if(why.isNull()).alias("taken"), F.count_if(why.isNotNull() & ~why.isin(*reasons)).alias("other"), *counts)
+    marked.where(why.isNull()).drop(reason).write.parquet(path)
+    return {k: int(v) for k, v in seen.get.items()}
+
+
 def matching_manifest(manifests: DataFrame, wanted: DataFrame) -> DataFrame:
     """The manifests (manifest, item_id) whose set of ids is that of ``wanted`` (item_id)."""
     want, ids = wanted.select("item_id").distinct(), manifests.select("manifest", "item_id").distinct()
