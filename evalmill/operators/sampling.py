@@ -55,8 +55,8 @@ def filter_items(items: DataFrame, **wanted: object) -> DataFrame:
 
 def quota_sample(df: DataFrame, by: list[str], order: list[Column], quota: int) -> DataFrame:
     """``quota`` rows of each stratum, in the given order; an error when the query runs if a stratum is short."""
-    size = F.count("*").over(Window.partitionBy(*by))
-    ranked = first_of_each(df.withColumn("_size", size), by, order, quota)
+    # The rows of a stratum are cut to its quota first, and only these are counted.
+    ranked = first_of_each(df, by, order, quota).withColumn("_size", F.count("*").over(Window.partitionBy(*by)))
     enough = F.when(F.col("_size") >= quota, True).otherwise(F.raise_error(F.concat(F.lit("too few rows in "), F.concat_ws("/", *(F.col(c).cast("string") for c in by)))).cast("boolean"))
     return ranked.where(enough).drop("_size")
 

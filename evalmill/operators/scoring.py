@@ -156,3 +156,32 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def join_contract(items: DataFrame, results: DataFrame, by: list[str]) -> DataFrame:
+    """(judge, by, expected, matched, missing, duplicates, match_rate) of each judge of ``results`` and group of items.
+
+    An item of several attempts is matched once; the others are duplicates.
+    """
+    attempts = results.groupBy("judge", "item_id").agg(F.count("*").alias("n"))
+    grid = items.select("item_id", *by).crossJoin(results.select("judge").distinct())  # what is asked for: every item of every judge
+    rows = grid.join(attempts, ["judge", "item_id"], "left")
+    got = F.col("n").isNotNull()
+    out = rows.groupBy("judge", *by).agg(F.count("*").alias("expected"), F.count_if(got).alias("matched"), F.count_if(~got).alias("missing"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
+    return out.withColumn("match_rate", ratio("matched", "expected"))
+
+
+def unknown_keys(items: DataFrame, results: DataFrame, examples: int = 5) -> DataFrame:
+    """(judge, keys, attempts, examples) of the results whose key no item has; the smallest keys are shown."""
+    lost = results.join(items.select("item_id").distinct(), "item_id", "left_anti").groupBy("judge", "item_id").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("judge").orderBy(F.col("item_id").asc_nulls_last()))
+    shown = lost.withColumn("_place", place).where(F.col("_place") <= examples).groupBy("judge").agg(F.sort_array(F.collect_list("item_id")).alias("examples"))
+    totals = lost.groupBy("judge").agg(F.count("*").alias("keys"), F.sum("n").alias("attempts"))
+    return totals.join(shown, "judge")
+
+
+def checked_keys(items: DataFrame, results: DataFrame) -> DataFrame:
+    """``results``, or an error when the query runs if a key is no item's."""
+    known = items.select("item_id").distinct().withColumn("_known", F.lit(True))
+    checked = F.when(F.col("_known"), True).otherwise(F.raise_error(F.concat(F.lit("no item has the key "), F.coalesce(F.col("item_id").cast("string"), F.lit("null")))).cast("boolean"))
+    return results.join(known, "item_id", "left").where(checked).drop("_known")

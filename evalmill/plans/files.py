@@ -42,12 +42,11 @@ def tab_separated(spark: SparkSession, sf: str) -> DataFrame:
     return scans.read_tsv(spark, path, "id BIGINT, kind STRING, price DOUBLE")
 
 
-@register("SELECT CAST(n_regionkey AS VARCHAR) AS \"group\", n_name AS name, n_nationkey AS size FROM nation")
+@register("SELECT CAST(o_custkey AS VARCHAR) AS \"group\", CAST(o_orderkey AS VARCHAR) AS name, CAST(floor(o_totalprice) AS BIGINT) % 1000 AS size FROM orders")
 def nested_entries(spark: SparkSession, sf: str) -> DataFrame:
-    """An object of objects in JSON, one row for each inner entry."""
-    n = B.read(spark, sf, "nation").selectExpr("CAST(n_regionkey AS STRING) AS g", "n_name", "struct(n_nationkey AS size) AS v")
-    inner = n.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("n_name", "v"))).alias("m"))
-    text = inner.groupBy().agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("g", "m")))).alias("text"))
+    """Objects of objects in JSON, one for each customer, as one row for each inner entry."""
+    n = B.read(spark, sf, "orders").selectExpr("CAST(o_custkey AS STRING) AS g", "CAST(o_orderkey AS STRING) AS k", "struct(CAST(floor(o_totalprice) AS BIGINT) % 1000 AS size) AS v")
+    text = n.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m")).select(F.to_json(F.create_map("g", "m")).alias("text"))
     return scans.entries(text, scans.map_of_maps(F.col("text"), "STRUCT<size: BIGINT>")).select("group", "name", "value.size")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..functions import text as T
+from ..operators import crops, scoring
 from ..operators import relations as R
 from . import bridge as B
 
@@ -85,6 +86,57 @@ def boxes_and_viewports(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("l_orderkey", "l_linenumber", R.overlaps("a", "b").alias("overlaps"), R.inside("a", "b").alias("inside"), c["w"].alias("w"), c["h"].alias("h"))
 
 
+def _clip_sql(at: str, size: str, screen: float, page: float, low: float, high: float, axis: str) -> str:
+    length = f"least(greatest(CASE WHEN local THEN {size} + 96 ELSE least({screen}, greatest({low}, least({size} + 96, {high}))) END, 1), {page})"
+    place = f"least(greatest({at} + {size} / 2 - ({length}) / 2, 0), greatest({page} - ({length}), 0))"
+    return f"CASE WHEN local THEN least({place}, {at}) ELSE {place} END AS c{axis}, CASE WHEN local THEN least(greatest({length}, {at} + {size} - least({place}, {at})), {page} - least({place}, {at})) ELSE {length} END AS l{axis}"
+
+
+_TARGET = "CAST(l_partkey * 7 % 1300 AS DOUBLE) AS bx, CAST(l_suppkey * 31 % 2400 AS DOUBLE) AS \"by\", CAST(l_linenumber * 170 + l_partkey % 9 AS DOUBLE) AS bw, CAST(l_quantity * 23 AS DOUBLE) AS bh, l_orderkey % 3 = 0 AS local"
+
+
+@register(
+    f"""WITH b AS (SELECT l_orderkey, l_linenumber, {_TARGET} FROM lineitem),
+    c AS (SELECT *, {_clip_sql("bx", "bw", 1280, 1290, 320, 1024, "x")}, {_clip_sql('"by"', "bh", 800, 2500, 240, 768, "y")} FROM b),
+    s AS (SELECT *, least(1024 / lx, 768 / ly, 1.0::DOUBLE) AS scale FROM c)
+    SELECT l_orderkey, l_linenumber, cx AS x, cy AS y, lx AS w, ly AS h, greatest(1, CAST(round_even(lx * scale, 0) AS INT)) AS width, greatest(1, CAST(round_even(ly * scale, 0) AS INT)) AS height FROM s"""
+)
+def source_clips(spark: SparkSession, sf: str) -> DataFrame:
+    """The region that shows each target, and the size of its picture."""
+    b = B.read(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", *(c.strip().replace('"', "`") for c in _TARGET.split(", ")))
+    box = F.struct(F.col("bx").alias("x"), F.col("by").alias("y"), F.col("bw").alias("w"), F.col("bh").alias("h"))
+    size = lambda w, h: F.struct(F.lit(float(w)).alias("w"), F.lit(float(h)).alias("h"))
+    rows = b.withColumn("c", crops.source_clip(box, F.col("local"), size(1280, 800), size(1290, 2500)))
+    rows = rows.withColumn("p", crops.picture_size(F.lit("desktop"), F.col("c")))
+    return rows.select("l_orderkey", "l_linenumber", "c.*", F.col("p.w").alias("width"), F.col("p.h").alias("height"))
+
+
+_ATTEMPTS = "r AS (SELECT judge, CASE WHEN item_id % 19 = 0 THEN item_id + 1000000000 ELSE item_id END AS item_id FROM results)"
+
+
+def _attempts(spark: SparkSession, sf: str) -> DataFrame:
+    return B.results(spark, sf).select("judge", F.expr("CASE WHEN item_id % 19 = 0 THEN item_id + 1000000000 ELSE item_id END").alias("item_id"))
+
+
+@register(
+    f"""WITH {B.FACT}, {_ATTEMPTS}, a AS (SELECT judge, item_id, count(*) AS n FROM r GROUP BY 1, 2), g AS (SELECT gold.item_id, criterion, j.judge FROM gold, (SELECT DISTINCT judge FROM r) j)
+    SELECT g.judge, g.criterion, count(*) AS expected, count(n) AS matched, count(*) - count(n) AS missing, coalesce(sum(n - 1), 0)::BIGINT AS duplicates, CAST(count(n) AS DOUBLE) / count(*) AS match_rate
+    FROM g LEFT JOIN a ON a.judge = g.judge AND a.item_id = g.item_id GROUP BY 1, 2"""
+)
+def join_contract(spark: SparkSession, sf: str) -> DataFrame:
+    """How many items of each judge and criterion are matched, missing, and answered more than once."""
+    return scoring.join_contract(B.gold(spark, sf), _attempts(spark, sf), ["criterion"])
+
+
+@register(
+    f"""WITH {B.FACT}, {_ATTEMPTS}, u AS (SELECT judge, item_id, count(*) AS n FROM r WHERE item_id NOT IN (SELECT item_id FROM gold) GROUP BY 1, 2)
+    SELECT judge, count(*) AS keys, sum(n)::BIGINT AS attempts, array_to_string(list_sort(list(item_id))[1:5], ' ') AS examples FROM u GROUP BY 1"""
+)
+def unknown_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """The results whose key no item has, by judge, with the first of them."""
+    return scoring.unknown_keys(B.gold(spark, sf), _attempts(spark, sf)).withColumn("examples", F.array_join(F.transform("examples", lambda x: x.cast("string")), " "))
+
+
 @register("""WITH c AS (SELECT p_size % 4 AS variant, p_partkey % 3 AS model, count(*) AS n FROM part WHERE (p_size % 4) * 3 + p_partkey % 3 <> 5 GROUP BY 1, 2)
   SELECT v.variant, m.model, c.n FROM (SELECT DISTINCT p_size % 4 AS variant FROM part) v CROSS JOIN (SELECT DISTINCT p_partkey % 3 AS model FROM part) m LEFT JOIN c ON c.variant = v.variant AND c.model = m.model""")
 def ablation_cells(spark: SparkSession, sf: str) -> DataFrame:

@@ -119,17 +119,17 @@ _SCOPE = "CASE WHEN p_partkey % 6 = 0 THEN {l}'clarity'{r} ELSE {l}'clarity', 'p
 
 
 @register(
-    f"""WITH t AS (SELECT 'r1' AS rater, p_partkey AS pair_id, p_partkey % 6 = 0 AS is_catch, unnest({_SCOPE.format(l="[", r="]")}) AS dimension FROM part),
-    n AS (SELECT *, row_number() OVER (PARTITION BY is_catch ORDER BY md5('0:' || rater || ':' || CAST(pair_id AS VARCHAR) || ':' || dimension), pair_id, dimension) AS turn FROM t),
-    s AS (SELECT count(*) FILTER (NOT is_catch) AS p, count(*) FILTER (is_catch) AS c FROM n), e AS (SELECT n.*, p, c, greatest(1, p // (c + 1)) AS every FROM n, s)
+    f"""WITH t AS (SELECT 'r' || CAST(p_partkey // 60 AS VARCHAR) AS rater, p_partkey AS pair_id, p_partkey % 6 = 0 AS is_catch, unnest({_SCOPE.format(l="[", r="]")}) AS dimension FROM part),
+    n AS (SELECT *, row_number() OVER (PARTITION BY rater, is_catch ORDER BY md5('0:' || rater || ':' || CAST(pair_id AS VARCHAR) || ':' || dimension), pair_id, dimension) AS turn FROM t),
+    s AS (SELECT rater, count(*) FILTER (NOT is_catch) AS p, count(*) FILTER (is_catch) AS c FROM n GROUP BY 1), e AS (SELECT n.*, p, c, greatest(1, p // (c + 1)) AS every FROM n JOIN s USING (rater))
     SELECT rater, pair_id, dimension, CASE WHEN is_catch THEN least(turn * every, p) + turn ELSE turn + least(c, (turn - 1) // every) END AS place FROM e"""
 )
 def rater_trials(spark: SparkSession, sf: str) -> DataFrame:
-    """A rater's trials in an order of their own, with catch trials spread among them."""
+    """Each rater's trials, of 60 pairs, in an order of their own, with catch trials spread among them."""
     from ..operators.relations import interleaved_catches
 
     pairs = B.read(spark, sf, "part").selectExpr("p_partkey AS pair_id", "CASE WHEN p_partkey % 6 = 0 THEN 'validity' ELSE 'preference' END AS pair_type", f"{_SCOPE.format(l='array(', r=')')} AS scope")
-    return interleaved_catches(S.trials(pairs, F.lit("r1")), ["rater"]).select("rater", "pair_id", "dimension", "place")
+    return interleaved_catches(S.trials(pairs, F.expr("concat('r', pair_id div 60)")), ["rater"]).select("rater", "pair_id", "dimension", "place")
 
 
 _VIEWS = "CASE WHEN p_partkey % 3 = 0 THEN {l}'desktop'{r} ELSE {l}'desktop', 'mobile'{r} END"

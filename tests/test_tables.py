@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from evalmill.operators import crops, instrument, sampling, scoring
 from evalmill.sources import scans, versions
 from evalmill.streaming import judgments
 
@@ -88,3 +89,61 @@ def test_a_counted_write_is_one_pass(spark, tmp_path):
     by = {r.why: r["count"] for r in rows.groupBy("why").count().collect()}
     assert counts == {"total": 100, "taken": by[None], "long": by["long"], "lang": 1, "none": 0, "other": by["odd"]} and len(jobs) == 1
     assert spark.read.parquet(f"{tmp_path}/kept").count() == by[None]
+
+
+def plain_clip(box, local, screen, page):
+    """The region along both axes, step by step in floats."""
+    out = []
+    for k, (low, high) in enumerate(((320.0, 1024.0), (240.0, 768.0))):
+        start, size = box[k], box[2 + k]
+        wanted = size + 96 if local else min(screen[k], max(low, min(size + 96, high)))
+        length = min(max(wanted, 1.0), page[k])
+        at = min(max(start + size / 2 - length / 2, 0.0), max(page[k] - length, 0.0))
+        if local:
+            at = min(at, start)
+            length = min(max(length, start + size - at), page[k] - at)
+        out.append((at, length))
+    return out[0][0], out[1][0], out[0][1], out[1][1]
+
+
+def test_crops_match_plain_steps(spark):
+    rng = random.Random(8)
+    rows = [([rng.uniform(-50, 1400), rng.uniform(-50, 3000), rng.uniform(1, 1500), rng.uniform(1, 1500)], rng.random() < 0.5, rng.choice(["desktop", "mobile", "watch"]), float(rng.choice([390, 1280, 1400])), float(rng.choice([300, 900, 4000]))) for _ in range(400)]
+    frame = spark.createDataFrame(rows, "b array<double>, local boolean, viewport string, pw double, ph double")
+    box = F.struct(*(F.col("b")[i].alias(k) for i, k in enumerate("xywh")))
+    size = lambda w, h: F.struct(w.alias("w"), h.alias("h"))
+    clip = crops.source_clip(box, F.col("local"), size(F.lit(1280.0), F.lit(800.0)), size(F.col("pw"), F.col("ph")))
+    for r in frame.withColumn("c", clip).withColumn("p", crops.picture_size(F.col("viewport"), F.col("c"))).collect():
+        want = plain_clip(r.b, r.local, (1280.0, 800.0), (r.pw, r.ph))
+        assert tuple(r.c) == want
+        if r.viewport == "watch":
+            assert tuple(r.p) == (None, None)
+            continue
+        most = crops.LARGEST[r.viewport]
+        scale = min(most[0] / want[2], most[1] / want[3], 1.0)
+        assert tuple(r.p) == (max(1, round(want[2] * scale)), max(1, round(want[3] * scale)))
+
+
+def test_keys_without_an_item_are_reported_or_refused(spark):
+    items = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "item_id long, page string")
+    results = spark.createDataFrame([("a", 1), ("a", 1), ("a", 9), ("a", 9), ("a", 8), ("b", 3), ("b", None)], "judge string, item_id long")
+    got = {(r.judge, r.page): (r.expected, r.matched, r.missing, r.duplicates, r.match_rate) for r in scoring.join_contract(items, results, ["page"]).collect()}
+    assert got == {("a", "x"): (2, 1, 1, 1, 0.5), ("a", "y"): (1, 0, 1, 0, 0.0), ("b", "x"): (2, 0, 2, 0, 0.0), ("b", "y"): (1, 1, 0, 0, 1.0)}
+    assert {(r.judge, r["keys"], r.attempts, tuple(r.examples)) for r in scoring.unknown_keys(items, results, 1).collect()} == {("a", 2, 3, (8,)), ("b", 1, 1, ())}
+    with pytest.raises(Exception, match="no item has the key"):
+        scoring.checked_keys(items, results).collect()
+    assert scoring.checked_keys(items, results.where("item_id < 4")).count() == 3
+
+
+def test_a_short_stratum_is_an_error(spark):
+    rows = spark.createDataFrame([(k, i) for k in ("a", None) for i in range(4)] + [("b", 1)], "k string, i int")
+    assert sampling.quota_sample(rows.where("k is null or k = 'a'"), ["k"], [F.col("i")], 3).count() == 6
+    with pytest.raises(Exception, match="too few rows"):
+        sampling.quota_sample(rows, ["k"], [F.col("i")], 3).collect()
+
+
+def test_the_audit_gate_fails_on_any_reason(spark):
+    rows = spark.createDataFrame([(1, []), (2, [])], "id int, reasons array<string>")
+    assert instrument.all_valid(rows).count() == 2
+    with pytest.raises(Exception, match="invalid instrument: x, y"):
+        instrument.all_valid(rows.union(spark.createDataFrame([(3, ["x", "y"])], rows.schema))).collect()
