@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..functions import canonical
+from ..operators import coverage as C
+from ..operators import decisions as D
 from ..operators import instrument as I
 from . import bridge as B
 
@@ -129,3 +131,50 @@ def stale_captures(spark: SparkSession, sf: str) -> DataFrame:
     e = B.read(spark, sf, "events").selectExpr("user_id % 50 AS page_id", "event_type AS key").distinct()
     wanted = e.withColumn("digest", F.expr("CASE WHEN page_id % 4 = 0 THEN 'b' ELSE 'a' END"))
     return I.stale_captures(wanted, e.where("page_id % 7 <> 3").withColumn("digest", F.lit("a")), ["digest"])
+
+
+_ALL = C.success_criteria()
+_ALL_LIST = ", ".join(f"'{c}'" for c in _ALL)
+_FAMILIES = list(D.CRITERION)
+_FAMILY_LIST = ", ".join(f"'{c}'" for c in _FAMILIES)
+#: An item of each document, in both engines alike; {code} and {family} pick from the lists.
+_COVERED = (
+    "doc_id % 200 AS page_id", "{code} AS criterion", "CASE doc_id % 7 WHEN 0 THEN 'L2' WHEN 1 THEN 'L3' ELSE 'L1' END AS level", "CASE doc_id % 5 WHEN 0 THEN 'rules' WHEN 1 THEN 'ingested' ELSE 'mutation' END AS door",
+    "CASE WHEN doc_id % 2 = 0 THEN 'no' ELSE 'yes' END AS truth", "CASE WHEN doc_id % 5 < 2 THEN NULL WHEN doc_id % 2 = 0 THEN {family} ELSE {family} || ':clean-control' END AS defect_class", "doc_id % 11 <> 0 AS verified",
+    "doc_id % 2 = 1 AS control", "doc_id % 13 = 0 AS fires", "n_chars % 3 AS test", "doc_id % 6 <> 1 AS focus_shown",
+)
+
+
+def _picked(code: str, family: str) -> list[str]:
+    return [c.format(code=code, family=family) for c in _COVERED]
+
+
+def _status_sql() -> str:
+    kinds = " ".join(f"WHEN criterion IN ({', '.join(repr(c) for c in codes)}) THEN '{name}'" for name, codes in I.MODALITIES.items())
+    return f"CASE {kinds} ELSE '{I.REST}' END"
+
+
+@register(
+    f"""WITH reg AS (SELECT unnest([{_ALL_LIST}]) AS criterion), i AS (SELECT {", ".join(_picked(f"([{_ALL_LIST}])[CAST(doc_id % 86 % 29 * 3 % 86 + 1 AS INTEGER)]", f"([{_FAMILY_LIST}])[CAST(doc_id % 3 + 1 AS INTEGER)]"))} FROM documents),
+    f AS (SELECT criterion, replace(defect_class, ':clean-control', '') AS family, bool_or(level = 'L1' AND truth = 'no' AND verified AND door = 'mutation') AS fails, bool_or(level = 'L1' AND truth = 'yes' AND control AND NOT fires AND door = 'mutation') AS passes,
+      bool_or(test = 0) AND bool_or(test = 1) AND bool_or(test = 2) AS tested, bool_or(focus_shown) AS focus FROM i WHERE defect_class IS NOT NULL GROUP BY 1, 2),
+    p AS (SELECT criterion, string_agg(family, ' ' ORDER BY family) FILTER (fails AND passes) AS paired, string_agg(family, ' ' ORDER BY family) FILTER (fails AND passes AND tested AND family <> 'alt:garble' AND (criterion <> '2.4.11' OR focus)) AS covered FROM f GROUP BY 1),
+    d AS (SELECT criterion, string_agg(door || ':' || CAST(n AS VARCHAR), ' ' ORDER BY door) AS doors FROM (SELECT criterion, door, count(*) AS n FROM i GROUP BY 1, 2) GROUP BY 1),
+    l AS (SELECT criterion, string_agg(level || ':' || CAST(n AS VARCHAR), ' ' ORDER BY level) AS levels FROM (SELECT criterion, level, count(*) AS n FROM i GROUP BY 1, 2) GROUP BY 1),
+    c AS (SELECT criterion, count(*) AS items, count(DISTINCT page_id) FILTER (level = 'L1' AND truth = 'no') AS failing_pages, count(DISTINCT page_id) FILTER (level = 'L1' AND truth = 'yes') AS conforming_pages FROM i GROUP BY 1),
+    k AS (SELECT reg.criterion, coalesce(items, 0) AS items, coalesce(failing_pages, 0) AS failing_pages, coalesce(conforming_pages, 0) AS conforming_pages, coalesce(doors, '') AS doors, coalesce(levels, '') AS levels, coalesce(paired, '') AS paired_families, coalesce(covered, '') AS families
+      FROM reg LEFT JOIN c USING (criterion) LEFT JOIN d USING (criterion) LEFT JOIN l USING (criterion) LEFT JOIN p USING (criterion)), m AS (SELECT *, {_status_sql()} AS modality FROM k)
+    SELECT *, CASE WHEN modality IN ('timed-media-or-temporal', 'multi-page-or-process') THEN 'not-representable' WHEN families <> '' AND criterion NOT IN ('1.4.3', '2.5.8') THEN 'covered' WHEN items > 0 THEN 'partially-covered' ELSE 'not-yet-covered' END AS status FROM m"""
+)
+def coverage_report(spark: SparkSession, sf: str) -> DataFrame:
+    """All 86 success criteria with their evidence, families and status."""
+    picked = _picked(f"element_at(array({_ALL_LIST}), CAST(doc_id % 86 % 29 * 3 % 86 + 1 AS INT))", f"element_at(array({_FAMILY_LIST}), CAST(doc_id % 3 + 1 AS INT))")
+    items = B.read(spark, sf, "documents").selectExpr(*picked).withColumn("tests", F.array(F.element_at(F.array(*map(F.lit, C.TESTS)), F.col("test").cast("int") + 1)))
+    registry = spark.createDataFrame([(c,) for c in _ALL], "criterion string")
+    cases = items.where("defect_class is not null").select("criterion", F.regexp_replace("defect_class", C.CONTROL + "$", "").alias("family")).distinct().where("family <> 'alt:garble'")
+    cases = cases.withColumn("test", F.explode(F.array(*map(F.lit, C.TESTS))))
+    limits = registry.where("criterion in ('1.4.3', '2.5.8')")
+    rows = C.coverage_report(registry, items, cases, limits)
+    told = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["value"], x["items"].cast("string"))), " ")
+    names = [F.array_join(c, " ").alias(c) for c in ("paired_families", "families")]
+    return rows.select("criterion", "items", "failing_pages", "conforming_pages", told("doors").alias("doors"), told("levels").alias("levels"), *names, "modality", "status")

@@ -10,17 +10,31 @@ from pyspark.sql import DataFrame, SparkSession
 _own: dict[str, str] = {}
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in ``spark.checkpoint.dir``.  Where that is unset: in the warehouse, or a temporary folder if Spark runs in this process alone."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``.
+
+    Where that is unset: on a cluster the warehouse, which has to be on a file
+    system that all machines share, or this is an error; where Spark runs in this
+    process alone, a temporary folder.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
     app = spark.sparkContext
-    if folder is None and (not app.master.startswith("local") or app.master.startswith("local-cluster")):
-        folder = spark.conf.get("spark.sql.warehouse.dir")
-    if folder is None:
-        if app.applicationId not in _own:
-            _own[app.applicationId] = "file://" + tempfile.mkdtemp(prefix="evalmill-")
-        folder = _own[app.applicationId]
-    return f"{folder.rstrip('/')}/evalmill/{name}-{uuid.uuid4().hex}"
+    if not app.master.startswith("local") or app.master.startswith("local-cluster"):
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        place = spark._jvm.org.apache.hadoop.fs.Path(warehouse)
+        if place.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() == "file":
+            raise RuntimeError(f"tables between steps would go to {warehouse} on each machine: set spark.checkpoint.dir to a folder that all executors share")
+        return warehouse
+    if app.applicationId not in _own:
+        _own[app.applicationId] = "file://" + tempfile.mkdtemp(prefix="evalmill-")
+    return _own[app.applicationId]
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that no other call gets."""
+    return f"{shared_folder(spark)}/evalmill/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
