@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..operators import judges as J
+from ..operators import table_judges as T
 from ..operators.scoring import mcnemar
 from . import bridge as B
 
@@ -52,3 +53,27 @@ def image_sizes(spark: SparkSession, sf: str) -> DataFrame:
     content = f"unhex(concat({signature}, '0000000D49484452', lpad(hex(p_size * 13 + 1), 8, '0'), lpad(hex(p_partkey % 1000 + 256), 8, '0'), '0806000000')) AS content"
     rows = B.read(spark, sf, "part").selectExpr("p_partkey", content)
     return rows.select("p_partkey", J.png_size(F.col("content")).alias("s")).select("p_partkey", "s.w", "s.h")
+
+
+def _long_page(item: dict, assets: dict) -> T.Verdict:
+    """no where the page's report names more than its limit."""
+    report = assets["report"]
+    return ("unknown", None) if report is None else ("no" if report["found"] > 1 else "yes", min(1.0, report["found"] / 4))
+
+
+@register(
+    f"""WITH i AS (SELECT {_ITEMS.format(s="VARCHAR")} FROM documents), a AS (SELECT item_id, page_id, track, CASE WHEN item_id % 4 = 1 THEN 'no' ELSE 'unknown' END AS replay, CASE WHEN item_id % 4 = 1 THEN 0.75::DOUBLE END AS c,
+      CASE WHEN n_nationkey IS NULL THEN 'unknown' WHEN n_regionkey > 1 THEN 'no' ELSE 'yes' END AS report, CAST(n_regionkey AS DOUBLE) / 4 AS r FROM i LEFT JOIN nation ON i.page_id = 'p' || CAST(n_nationkey * 3 AS VARCHAR))
+    SELECT 'replayed' AS judge, CAST(item_id AS VARCHAR) AS item_id, replay AS answer, c AS confidence FROM a UNION ALL SELECT 'report', CAST(item_id AS VARCHAR), report, r FROM a
+    UNION ALL SELECT 'routed', CAST(item_id AS VARCHAR), CASE WHEN track = 'en' THEN report ELSE replay END, CASE WHEN track = 'en' THEN r ELSE c END FROM a"""
+)
+def page_judges(spark: SparkSession, sf: str) -> DataFrame:
+    """Three judges in Python over all items: one that replays, one that reads a page's report, and one that routes by track."""
+    items = B.read(spark, sf, "documents").selectExpr(*_ITEMS.format(s="STRING").split(", "))
+    tables = {
+        "answers": items.where("item_id % 4 = 1").select("item_id", F.lit("no").alias("answer"), F.lit(0.75).alias("confidence")),
+        "report": B.read(spark, sf, "nation").selectExpr("'p' || CAST(n_nationkey * 3 AS STRING) AS page_id", "n_regionkey AS found"),
+        "unused": items.where(F.raise_error(F.lit("nobody requires this")).isNotNull()),
+    }
+    replay, report = T.PageJudge("replayed", ("answers",), T.replayed), T.PageJudge("report", ("report",), _long_page)
+    return T.run_page_judges(items, [replay, report, T.routed("routed", {"en": report}, rest=replay)], tables).drop("error")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +63,50 @@ def read_pages(spark: SparkSession, root: str) -> DataFrame:
     return left.join(html.select(bucket.alias("bucket"), page.alias("page_id"), "html"), ["bucket", "page_id"])
 
 
+_PROVENANCE = "page_id STRING, url STRING, viewports ARRAY<STRING>, metadata STRUCT<variant: STRING, genre: STRING, defect_class: STRING, severity: STRING, parent: STRING>"
+
+
+def _glob(names: list[str] | None) -> str:
+    """A pattern for folders of these names, or of any."""
+    if names is None:
+        return "*"
+    return "{" + ",".join(re.sub(r"([\\*?\[\]{},])", r"\\\1", n) for n in names) + "}"
+
+
+def read_corpus(spark: SparkSession, root: str, buckets: list[str] | None = None, pages: list[str] | None = None) -> DataFrame:
+    """The pages of a corpus folder (``root/<bucket>/<page>/``) that have their provenance and their source.
+
+    Only folders of the named buckets and pages are listed and read.  Gives
+    page_id, bucket, variant (clean by default), viewports (desktop by default),
+    group (of real pages their genre, else the one template), defect_class,
+    severity, parent, url, page_path, and screenshots, a map from each viewport
+    to its picture's path, null where there is none.  Pictures and sources are
+    listed, not read.  A folder without a match is an empty table.
+    """
+    place = f"{root.rstrip('/')}/{_glob(buckets or ['real', 'synthetic'])}/{_glob(pages)}"
+    names = [F.element_at(F.split("path", "/"), -i).alias(n) for i, n in ((3, "bucket"), (2, "folder"))]
+
+    def listed(pattern: str) -> DataFrame:
+        if not exists(spark, f"{place}/{pattern}"):
+            return spark.createDataFrame([], "path string, content binary")
+        return spark.read.format("binaryFile").load(f"{place}/{pattern}").select("path", "content")
+
+    said = listed("provenance.json").select(*names, F.from_json(F.decode("content", "UTF-8"), _PROVENANCE).alias("p"))
+    sources = listed("page.html").select(*names, F.col("path").alias("page_path"))
+    shot = F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"^screenshot_(.+)\.png$", 1)
+    shots = listed("screenshot_*.png").select(*names, F.struct(shot.alias("viewport"), "path").alias("s"))
+    shots = shots.groupBy("bucket", "folder").agg(F.map_from_entries(F.collect_list("s")).alias("there"))
+    rows = said.join(sources, ["bucket", "folder"]).join(shots, ["bucket", "folder"], "left")
+    viewports = F.when(F.size("p.viewports") > 0, F.col("p.viewports")).otherwise(F.array(F.lit("desktop")))
+    group = F.when(F.col("bucket") == "real", F.coalesce("p.metadata.genre", F.lit("unknown"))).otherwise("synthetic-standard")
+    rows = rows.select(
+        F.col("p.page_id").alias("page_id"), "bucket", F.coalesce("p.metadata.variant", F.lit("clean")).alias("variant"), viewports.alias("viewports"), group.alias("group"), F.col("p.metadata.defect_class").alias("defect_class"),
+        F.col("p.metadata.severity").alias("severity"), F.col("p.metadata.parent").alias("parent"), F.col("p.url").alias("url"), "page_path", "there",
+    )
+    pictures = F.map_from_arrays("viewports", F.transform("viewports", lambda v: F.try_element_at("there", v)))
+    return rows.withColumn("screenshots", pictures).drop("there")
+
+
 def first_bucket(pages: DataFrame, buckets: list[str]) -> DataFrame:
     """Of a page that stands in several buckets, the row of the first one in the list."""
     order = F.array_position(F.array(*map(F.lit, buckets)), F.col("bucket"))
