@@ -2,30 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``.  Where that is unset: the warehouse, or a temporary folder if Spark runs in this process alone."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext
-    if not app.master.startswith("local") or app.master.startswith("local-cluster"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    if app.applicationId not in _own:
-        _own[app.applicationId] = "file://" + tempfile.mkdtemp(prefix="evalmill-")
-    return _own[app.applicationId]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/evalmill/{name}-{uuid.uuid4().hex}"
+from ..sources.scratch import scratch_path as new_path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -26,6 +26,7 @@ DIM, HIDDEN = 8, 8
 GRAMS, GRAM_SPACE = (3, 4, 5), 1 << 22
 LEAST_TEXTS = 12  # a word or n-gram in fewer texts has no vector of its own; less where there are few texts
 PER_CLASS, CALIBRATE, EPOCHS = 1500, 2500, 6  # labelled rows of a class to learn from, more of the clean ones to calibrate on
+LEARN_BYTES = 64 << 20  # text to train on, half of it for each class
 CACHED_WORDS = 200_000
 LONGEST = 40  # bytes of a word; a longer run between ASCII white space becomes several words
 PIECE = 12  # bytes of the pieces of what is still longer, each half over the one before, so about as many words as ordinary text has
@@ -334,22 +335,43 @@ class ToxicityModel:
     constant: float | None = None
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, eligible: F.Column | None = None, per_class: int = PER_CLASS, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+def _over(rows: list[tuple[int, int]], last: int, most: int) -> list[int]:
+    """Of rows (place, bytes) up to the place ``last``, those that do not fit into ``most`` bytes beside the ones before."""
+    held, over = 0, []
+    for place, size in rows:
+        if place > last:
+            break
+        if held + size > most:
+            over.append(place)
+        else:
+            held += size
+    return over
+
+
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, eligible: F.Column | None = None, per_class: int = PER_CLASS, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", learn_bytes: int = LEARN_BYTES
+) -> ToxicityModel:
     """Trains on at most ``per_class`` labelled rows of either class, with their whole texts.
 
     A sixth of them and up to ``CALIBRATE`` more rows that are not toxic turn
     logits into probabilities; they are scored in Spark's tasks.  Without rows of
     both classes every score is the share of toxic rows, or 0.  An id with two
-    labels counts as toxic; null and empty texts are one empty window.
+    labels counts as toxic; null and empty texts are one empty window.  The rows
+    to train on hold ``learn_bytes`` of text at most: in the order of their
+    hashes, one that no longer fits is passed over.
     """
     eligible = F.lit(True) if eligible is None else eligible
     sample = written(labelled_sample(docs, labels, label, eligible, (per_class + CALIBRATE, per_class), id_col, text_col), "sample")
-    places = {c: sorted(r.place for r in sample.where(F.col("y") == c).select("place").collect()) for c in (0, 1)}
+    sizes = {c: sorted((r.place, r.size) for r in sample.where(F.col("y") == c).select("place", F.octet_length("text").alias("size")).collect()) for c in (0, 1)}
+    places = {c: [place for place, _ in of] for c, of in sizes.items()}
     if not places[0] or not places[1]:
         return ToxicityModel(Network.fresh(Vocabulary([], np.empty(0, np.int64))), constant=float(bool(places[1])))
     last = {c: of[max(min(per_class, len(of)) * 5 // 6, 1) - 1] for c, of in places.items()}
-    learns = F.col("place") <= F.when(F.col("y") == 0, last[0]).otherwise(last[1])
+    over = [place for c, of in sizes.items() for place in _over(of, last[c], learn_bytes // 2)]
+    learns = (F.col("place") <= F.when(F.col("y") == 0, last[0]).otherwise(last[1])) & ~F.col("place").isin(over)
     learn = sample.where(learns).select("text", "y", "place").orderBy("place", "y").collect()
+    if len({r.y for r in learn}) < 2:
+        return ToxicityModel(Network.fresh(Vocabulary([], np.empty(0, np.int64))), constant=len(places[1]) / len(places[0] + places[1]))
     net = Trainer([r.text for r in learn], [r.y for r in learn]).fit()
     rest = sample.where(~learns).select(F.col("y").cast("long").alias("id"), "text").mapInArrow(_score_rows(ToxicityModel(net), True), "id long, score double").toPandas()
     worst, held = rest["score"].to_numpy(float), rest["id"].to_numpy(float)

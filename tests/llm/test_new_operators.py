@@ -17,7 +17,7 @@ import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from evalmill.llm import align, audit, chat, lattice, planes, quality, queries, secrets
+from evalmill.llm import align, audit, chat, lattice, planes, quality, queries, secrets, toxicity
 
 WORD_BPE, BYTE_BPE, PIECE_BPE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 DOC = "doc_id long, text string, lang string, source string, n_chars long, word string, failed int, row long, n long, a int, spans string"
@@ -336,3 +336,17 @@ def test_quality_scores_match_plain_compression(spark):
     plain = plain_quality(model, texts)
     assert all(abs(rows[i] - p) < 1e-9 for i, p in enumerate(plain)) and all(0 <= s <= 1 for s in rows.values())
     assert sum((rows[i] >= 0.5) == (i % 2 == 1) for i in range(120)) > 110
+
+
+# --- toxicity: a bound on what is trained on
+
+
+def test_training_texts_are_bounded_in_bytes(spark):
+    assert toxicity._over([(1, 5), (2, 6), (3, 5), (9, 99)], 3, 10) == [2]
+    texts = ["nice calm words here"] * 30 + ["vile rot words here"] * 30 + ["vile rot " * 40_000, "calm " * 60_000]
+    labels = spark.createDataFrame([(i, 0, int(30 <= i < 61)) for i in range(62)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit_toxicity(documents(spark, texts), labels, learn_bytes=4000)
+    scores = {r.doc_id: r.score for r in toxicity.toxicity_scores(documents(spark, texts), model).collect()}
+    assert len(scores) == 62 and min(scores[i] for i in range(30, 61)) > max(scores[i] for i in [*range(30), 61])
+    none = toxicity.fit_toxicity(documents(spark, texts), labels, learn_bytes=10)
+    assert {r.score for r in toxicity.toxicity_scores(documents(spark, texts), none).collect()} == {0.5}
