@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_PLANS = ("evaluation", "inference", "answers", "decisions", "pages", "relations", "files", "streams", "instrument", "judges", "preference", "selection", "derivation")
+_PLANS = ("evaluation", "inference", "answers", "decisions", "pages", "relations", "files", "streams", "instrument", "judges", "preference", "selection", "derivation", "estimate")
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
