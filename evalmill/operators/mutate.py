@@ -141,7 +141,7 @@ def mutated(numbered: DataFrame, elements: DataFrame, severity: str = "moderate"
     rows = written(edits(elements, chosen(elements, seed), severity), "edits")
     receipts = rows.select("row", "defect_class", "node", "before", "after", "p_expected").distinct()
     copies = numbered.join(receipts.select("row", "defect_class"), "row")
-    return applied(copies, rows.select("row", "defect_class", "edit.*"), ["row", "defect_class"], html), receipts
+    return written(applied(copies, rows.select("row", "defect_class", "edit.*"), ["row", "defect_class"], html), "mutants"), receipts
 
 
 def mutated_together(numbered: DataFrame, elements: DataFrame, severity: str = "moderate", seed: int = 0, html: str = "html") -> tuple[DataFrame, DataFrame]:
@@ -150,4 +150,4 @@ def mutated_together(numbered: DataFrame, elements: DataFrame, severity: str = "
     rows = rows.select("row", "defect_class", "node", "before", "after", "p_expected", "rank", "edit.*")
     kept = written(without_conflicts(rows, ["row"], ["defect_class"]), "edits")
     receipts = kept.select("row", "defect_class", "node", "before", "after", "p_expected").distinct()
-    return applied(numbered, kept.select("row", "start", "end", "text"), ["row"], html), receipts
+    return written(applied(numbered, kept.select("row", "start", "end", "text"), ["row"], html), "mutants"), receipts
