@@ -62,9 +62,10 @@ def is_refusal(text: Column) -> Column:
     return F.exists(F.array(*(F.lit(p) for p in REFUSALS)), lambda p: F.lower(text).contains(p))
 
 
-def scan_yes_no(text: Column) -> Column:
-    """The first yes or no that stands as a word."""
-    found = F.lower(F.regexp_extract(text, r"(?i)\b(yes|no)\b", 1))
+def scan_yes_no(text: Column, ascii_words: bool = False) -> Column:
+    """The first yes or no that stands as a word; with ``ascii_words`` only A-Z, a-z, 0-9 and _ go on with a word, as in RE2."""
+    pattern = r"(?i)(?<![A-Za-z0-9_])(yes|no)(?![A-Za-z0-9_])" if ascii_words else r"(?i)\b(yes|no)\b"
+    found = F.lower(F.regexp_extract(text, pattern, 1))
     return F.when(found != "", found)
 
 

@@ -160,3 +160,12 @@ def test_aggregated_runs_where_most_runs_have_no_answer(spark, tmp_path):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert _rows(got.collect()) == _rows(db.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.oracle_sql()['aggregated_runs']})").fetchall())
+
+
+def test_answer_scan_ends_words_as_its_sql_does(spark, tmp_path):
+    texts = ["nonoñcob yes", "noñcob yes", "ñno yes", "no_ yes", "no2 Yes", "éyes", "no\u0663", "no\u0301", "no\u200d", "İ'm unable to", "as an aİ", "AS AN AI: NO", "no\nyes"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = _rows(catalog.queries()["answer_scan"](spark, str(tmp_path)).collect())
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == _rows(db.execute(f"SELECT doc_id, refusal, said FROM ({catalog.oracle_sql()['answer_scan']})").fetchall())
