@@ -69,12 +69,39 @@ def covered_families(failed: DataFrame, controlled: DataFrame, registry: DataFra
     return registry.select("family").distinct().join(failed, "family", "left_semi").join(controlled, "family", "left_semi")
 
 
+#: Rows of a group that one side of a square of pairs holds.
+SQUARE = 2048
+
+
+def pairs_within(rows: DataFrame, by: list[str], id_: str) -> DataFrame:
+    """(by, a, b) of any two rows of one group ``by`` whose ids differ, a < b.
+
+    The pairs grow with the square of a group, so they are dealt, not the groups:
+    a hash puts a group's rows into blocks of about ``SQUARE``, and every two
+    blocks are a key of the join, as is each with itself.  Two rows meet under one
+    key only.  The number of tasks is fixed, since Spark would choose it by what
+    is read, which is little.
+    """
+    app = rows.sparkSession
+    tasks = max(int(app.conf.get("spark.sql.shuffle.partitions")), 4 * app.sparkContext.defaultParallelism)
+    rows = rows.select(*by, F.col(id_).alias("_id")).dropna()
+    sizes = rows.groupBy(*by).agg(F.ceil(F.count("*") / SQUARE).cast("int").alias("_n"))
+    dealt = rows.join(sizes, by).withColumn("_k", F.pmod(F.xxhash64("_id"), F.col("_n")).cast("int"))
+    square = [*by, "_i", "_j"]
+    left = dealt.select(*by, F.col("_id").alias("_l"), F.col("_k").alias("_i"), F.explode(F.sequence("_k", F.col("_n") - 1)).alias("_j"))
+    right = dealt.select(*by, F.col("_id").alias("_r"), F.explode(F.sequence(F.lit(0), F.col("_k"))).alias("_i"), F.col("_k").alias("_j"))
+    met = left.repartition(tasks, *square).hint("merge").join(right.repartition(tasks, *square), square).where("_i < _j OR _l < _r")
+    return met.select(*by, F.least("_l", "_r").alias("a"), F.greatest("_l", "_r").alias("b"))
+
+
+def seen_pages(pages: DataFrame) -> DataFrame:
+    """(bucket, group, page_id, viewport), once for each viewport that a page has."""
+    return pages.select("bucket", "group", "page_id", F.explode(F.array_distinct("viewports")).alias("viewport"))
+
+
 def pairs_by_viewport(pages: DataFrame) -> DataFrame:
     """(a, b, viewport) of pages of one (bucket, group), once for each viewport that both have."""
-    a = pages.select("bucket", "group", F.col("page_id").alias("a"), F.col("viewports").alias("va"))
-    b = pages.select("bucket", "group", F.col("page_id").alias("b"), F.col("viewports").alias("vb"))
-    both = a.join(b, ["bucket", "group"]).where("a < b")
-    return both.select("a", "b", F.explode(F.array_intersect("va", "vb")).alias("viewport"))
+    return pairs_within(seen_pages(pages), ["bucket", "group", "viewport"], "page_id").select("a", "b", "viewport")
 
 
 # Sets
