@@ -70,9 +70,9 @@ def twin_self_join(spark: SparkSession, sf: str) -> DataFrame:
 @register("SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_brand FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey")
 def combination_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """All pairs of a small group, which is what this operator returns."""
-    p = B.read(spark, sf, "part").select("p_partkey", "p_brand", "p_size", "p_type")
-    a, b = p.withColumnRenamed("p_partkey", "a"), p.withColumnRenamed("p_partkey", "b")
-    return a.join(b, ["p_brand", "p_size", "p_type"]).where("a < b").select("a", "b", "p_brand")
+    from ..operators.relations import pairs_within
+
+    return pairs_within(B.read(spark, sf, "part"), ["p_brand", "p_size", "p_type"], "p_partkey").select("a", "b", "p_brand")
 
 
 @register("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AND n_chars % 50 NOT IN (SELECT DISTINCT n_chars % 50 FROM documents WHERE doc_id % 97 = 0)")
