@@ -76,14 +76,25 @@ def built_pairs(pages: DataFrame, parents: DataFrame, each: int, seed: int = 0)
     is worse.  Preference pairs are two pages of a group on a viewport that both
     have, ``each`` of a bucket, in turn from its groups.  A hash flips the sides.
     """
-    from .relations import pairs_by_viewport
+    from .relations import pairs_within, seen_pages
 
     made = parents.select(F.lit("validity").alias("pair_type"), F.col("parent").alias("a"), F.col("page_id").alias("b"), F.lit("desktop").alias("viewport"))
-    met = pairs_by_viewport(pages).join(pages.select(F.col("page_id").alias("a"), "bucket", "group"), "a")
     key = lambda *c: F.md5(F.concat_ws(":", F.lit(seed), *c))
-    of_group = F.row_number().over(Window.partitionBy("bucket", "group").orderBy(key("a", "b", "viewport")))
+    of_group = F.row_number().over(Window.partitionBy("bucket", "group").orderBy("_key"))
     of_bucket = F.row_number().over(Window.partitionBy("bucket").orderBy("_g", "group"))
-    met = met.withColumn("_g", of_group).where(F.col("_g") <= each).withColumn("_b", of_bucket).where(F.col("_b") <= each)
+    first = lambda pairs: pairs.withColumn("_g", of_group).where(F.col("_g") <= each)
+    keyed = lambda rows, by: pairs_within(rows, by, "page_id").withColumn("_key", key("a", "b", "viewport"))
+    # The turns of a bucket are known from the numbers of pairs, so only groups that have one are paired.
+    seen, group = seen_pages(pages), ["bucket", "group"]
+    same = seen.dropna().groupBy(*group, "viewport", "page_id").agg(F.count("*").alias("n"))
+    numbers = same.groupBy(*group, "viewport").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("n")).groupBy(*group).agg(F.sum("n").alias("n")).where("n > 0")
+    turns = numbers.select(*group, F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(each)).cast("int"))).alias("_g")).withColumn("_b", of_bucket)
+    seen = seen.join(turns.where(F.col("_b") <= each).select(*group).distinct(), group)
+    # No pair of the first ``each`` has a larger hash than the last of the first ``each`` of any part of the group: all others go before they are sorted.
+    some = first(keyed(seen.where(F.pmod(F.xxhash64("page_id"), F.lit(16)) == 0), [*group, "viewport"]))
+    last = some.groupBy(*group).agg(F.max("_key").alias("last"), F.count("*").alias("n")).where(F.col("n") == each)
+    held = seen.join(last.select(*group, "last"), group, "left").withColumn("last", F.coalesce("last", F.lit("g")))  # behind all hex digits
+    met = first(keyed(held, [*group, "viewport", "last"]).where("_key <= last")).withColumn("_b", of_bucket).where(F.col("_b") <= each)
     rows = made.unionByName(met.select(F.lit("preference").alias("pair_type"), "a", "b", "viewport"))
     flip = F.substring(key("a", "b", "viewport"), 1, 1) < "8"
     worse = F.when(F.col("pair_type") == "validity", F.when(flip, "A").otherwise("B"))

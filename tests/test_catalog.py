@@ -169,3 +169,20 @@ def test_answer_scan_ends_words_as_its_sql_does(spark, tmp_path):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert got == _rows(db.execute(f"SELECT doc_id, refusal, said FROM ({catalog.oracle_sql()['answer_scan']})").fetchall())
+
+
+def test_pairs_of_large_groups_are_dealt_and_equal_their_sql(spark, tmp_path, monkeypatch):
+    from evalmill.operators import relations
+
+    monkeypatch.setattr(relations, "SQUARE", 16)
+    # groups of 200, 3 and 1 rows, more groups of a brand than it has places, ids that stand twice in one group and in two, and nulls
+    rows = [(i, "A", 1 + i // 200, "t") for i in range(400)] + [(i, "B", i % 7, "t") for i in range(400, 420)] + [(5, "A", 1, "t"), (5, "B", 2, "t"), (402, "B", 3, "u"), (900, None, 1, "t"), (None, "B", 2, "t"), (901, "C", 1, "t"), (902, "C", None, "t"), (903, "C", None, "t")]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    for name in ("combination_pairs", "pairs_by_viewport", "build_pairs"):
+        got = catalog.queries()[name](spark, str(tmp_path))
+        assert _rows(got.collect()) == _rows(db.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.oracle_sql()[name]})").fetchall()), name
+    for name in ("combination_pairs", "pairs_by_viewport"):
+        tasks = catalog.queries()[name](spark, str(tmp_path)).rdd.getNumPartitions()
+        assert tasks >= 4 * spark.sparkContext.defaultParallelism, name
