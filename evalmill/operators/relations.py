@@ -66,7 +66,8 @@ def cell_grid(variants: DataFrame, models: DataFrame, cells: DataFrame) -> DataF
 
 def covered_families(failed: DataFrame, controlled: DataFrame, registry: DataFrame) -> DataFrame:
     """Test families with a failing page, a controlled page, and a place in the registry."""
-    return registry.select("family").distinct().join(failed, "family", "left_semi").join(controlled, "family", "left_semi")
+    few = lambda rows: rows.select("family").distinct()
+    return few(registry).join(few(failed), "family", "left_semi").join(few(controlled), "family", "left_semi")
 
 
 #: Rows of a group that one side of a square of pairs holds.

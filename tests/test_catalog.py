@@ -186,3 +186,9 @@ def test_pairs_of_large_groups_are_dealt_and_equal_their_sql(spark, tmp_path, mo
     for name in ("combination_pairs", "pairs_by_viewport"):
         tasks = catalog.queries()[name](spark, str(tmp_path)).rdd.getNumPartitions()
         assert tasks >= 4 * spark.sparkContext.defaultParallelism, name
+
+
+def test_families_are_made_distinct_before_they_are_joined(spark):
+    plan = catalog.queries()["covered_families"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    right = [line for line in plan.splitlines() if ":- Aggregate [family" in line or "+- Aggregate [family" in line]
+    assert len(right) >= 2, plan
