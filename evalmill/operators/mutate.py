@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.elements import attribute
-from ..sources.scratch import written
+from ..sources.scratch import dealt, written
 from .measure import candidates
 
 # By severity, the contrast, heights and sizes that are planted; a file name for an alternative text; a width far past the page.
@@ -117,8 +117,14 @@ def applied(pages: DataFrame, edits_: DataFrame, by: list[str], html: str = "htm
 
     Edits of a page must not overlap.  Pages without edits stay as they are.
     """
-    listed = edits_.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("start", "end", "text"))).alias("_edits"))
-    rows = pages.join(listed, by, "left")
+    return _edited(pages.join(_listed(edits_, by), by, "left"), html)
+
+
+def _listed(edits_: DataFrame, by: list[str]) -> DataFrame:
+    return edits_.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("start", "end", "text"))).alias("_edits"))
+
+
+def _edited(rows: DataFrame, html: str) -> DataFrame:
     source, list_ = F.col(html), F.coalesce(F.col("_edits"), F.array().cast("array<struct<start: int, end: int, text: string>>"))
     rows = rows.withColumn("_edits", list_)
     before = lambda i: F.when(i == 0, 0).otherwise(F.get("_edits", i - 1)["end"])
@@ -140,8 +146,10 @@ def mutated(numbered: DataFrame, elements: DataFrame, severity: str = "moderate"
     """
     rows = written(edits(elements, chosen(elements, seed), severity), "edits")
     receipts = rows.select("row", "defect_class", "node", "before", "after", "p_expected").distinct()
-    copies = numbered.join(receipts.select("row", "defect_class"), "row")
-    return written(applied(copies, rows.select("row", "defect_class", "edit.*"), ["row", "defect_class"], html), "mutants"), receipts
+    # A page is copied where its edits are, so that it is moved once and not once for each class.
+    listed = _listed(rows.select("row", "defect_class", "edit.*"), ["row", "defect_class"])
+    copies = dealt(numbered, "row").hint("merge").join(dealt(listed, "row"), "row")
+    return written(_edited(copies, html), "mutants"), receipts
 
 
 def mutated_together(numbered: DataFrame, elements: DataFrame, severity: str = "moderate", seed: int = 0, html: str = "html") -> tuple[DataFrame, DataFrame]:

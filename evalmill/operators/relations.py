@@ -6,12 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio
-
-
-def _tasks(rows: DataFrame) -> int:
-    """Tasks of a step that needs more of them than Spark would choose by what is read."""
-    app = rows.sparkSession
-    return max(int(app.conf.get("spark.sql.shuffle.partitions")), 4 * app.sparkContext.defaultParallelism)
+from ..sources.scratch import tasks_for
 
 
 # Joins
@@ -30,7 +25,7 @@ def tagged(findings: DataFrame, tags: str, registry: DataFrame) -> DataFrame:
     ever equal, so they are dealt before they are compared.
     """
     rows = findings.withColumn("tag", F.explode(F.array_distinct(tags))).join(F.broadcast(registry.select("tag", "criterion").distinct()), "tag").drop(tags, "tag")
-    return rows.repartition(_tasks(rows), *rows.columns).distinct()
+    return rows.repartition(tasks_for(rows), *rows.columns).distinct()
 
 
 def findings_of(items: DataFrame, classes: DataFrame, findings: DataFrame) -> DataFrame:
@@ -96,7 +91,7 @@ def pairs_within(rows: DataFrame, by: list[str], id_: str) -> DataFrame:
     key only.  The number of tasks is fixed, since Spark would choose it by what
     is read, which is little.
     """
-    tasks = _tasks(rows)
+    tasks = tasks_for(rows)
     rows = rows.select(*by, F.col(id_).alias("_id")).dropna()
     sizes = rows.groupBy(*by).agg(F.ceil(F.count("*") / SQUARE).cast("int").alias("_n"))
     dealt = rows.join(sizes, by).withColumn("_k", F.pmod(F.xxhash64("_id"), F.col("_n")).cast("int"))

@@ -37,6 +37,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/evalmill/{name}-{uuid.uuid4().hex}"
 
 
+def tasks_for(rows: DataFrame) -> int:
+    """Tasks of a step that needs more of them than Spark would choose by what is read."""
+    app = rows.sparkSession
+    return max(int(app.conf.get("spark.sql.shuffle.partitions")), 4 * app.sparkContext.defaultParallelism)
+
+
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt by columns over a fixed number of tasks, for steps whose work is far more than the bytes they read."""
+    return rows.repartition(tasks_for(rows), *by)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet and read back, which cuts its lineage."""
     path = scratch_path(df.sparkSession, name)

@@ -219,3 +219,14 @@ def test_defects_planted_together_touch_each_page_once(spark):
     back = mutate.applied(mutants.select("row", "html"), mutants.selectExpr("row", "explode(undo) AS e").selectExpr("row", "e.*"), ["row"])
     assert {r.row: r.html for r in back.collect()} == sources
     assert receipts.count() == sum(len({(r.row, r.defect_class) for r in receipts.where(f"row = {k}").collect()}) for k in sources)
+
+
+def test_pages_are_scanned_by_all_tasks(spark):
+    source = spark.range(200, numPartitions=1).selectExpr("id AS page_id", "concat('<h1>a</h1><h2>b</h2><p>', id, '</p>') AS html")
+    pages = numbered_pages(source)
+    elements = element_table(pages)
+    mutants, _ = mutate.mutated(pages, elements)
+    for rows in (pages, elements, mutants):
+        sizes = [n for n in rows.select("row").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+        assert max(sizes) < sum(sizes) / 2, sizes
+    assert {r.row for r in pages.collect()} == set(range(200))
